@@ -1,0 +1,173 @@
+"""Labelled tables for training, one row per row of a base table.
+
+Every choice is a hash of the row's number, a seed and a tag, so rows are made
+independently on the executors and a retry makes the same row. Choices come
+from the leading 8 hex digits of an MD5, which any SQL engine can repeat.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from gavel import constants as K
+from gavel.functions.clock import iso_text
+from gavel.functions.keys import uuid_text
+
+START = "2026-01-05 08:00:00"
+
+
+class Picks:
+    """Hash-driven choices of the row numbered ``row``."""
+
+    def __init__(self, row: Column, seed: int):
+        self.row, self.seed = row, seed
+
+    def below(self, n: int | Column, tag: str) -> Column:
+        """Uniform integer in [0, n)."""
+        text = F.concat_ws(":", self.row.cast("string"), F.lit(str(self.seed)), F.lit(tag))
+        head = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+        return F.pmod(head, n if isinstance(n, Column) else F.lit(n))
+
+    def between(self, low: int, high: int, tag: str) -> Column:
+        return self.below(high - low + 1, tag) + low
+
+    def chance(self, p: float, tag: str) -> Column:
+        return self.below(10_000, tag) < int(round(p * 10_000))
+
+    def one_of(self, values, tag: str) -> Column:
+        return _at(values, self.below(len(values), tag))
+
+
+def _at(values, index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+def _resource(department: Column, cls: Column, slot: Column) -> Column:
+    return F.concat_ws("-", department, F.lower(cls), F.lpad((slot + 1).cast("string"), 3, "0"))
+
+
+def access_table(
+    base: DataFrame, row: str, *, seed: int = K.ACCESS_SEED, anomaly_rate: float = K.ANOMALY_RATE, start: str = START
+) -> DataFrame:
+    """Labelled access log: 48 users in 6 departments, 150 resources, five kinds of
+    anomaly of which three use a normal action in an abnormal context."""
+    if not 0 <= anomaly_rate <= 1:
+        raise ValueError("anomaly_rate must be between 0 and 1")
+    p = Picks(F.col(row), seed)
+    n_dept, n_cls, n_slot = len(K.DEPARTMENTS), len(K.CLASSES), K.RESOURCES_PER_CLASS
+
+    drawn = base.select(
+        F.col(row).cast("bigint").alias("row"),
+        p.below(n_dept, "department").alias("dept"),
+        p.between(1, K.USERS_PER_DEPARTMENT, "user").alias("user"),
+        p.chance(anomaly_rate, "anomaly").alias("is_anomaly"),
+        p.one_of(K.ANOMALY_REASONS, "scenario").alias("scenario"),
+        p.chance(K.SAME_DEPARTMENT_RATE, "same").alias("same"),
+        p.below(n_dept, "any department").alias("any_dept"),
+        p.between(1, n_dept - 1, "other department").alias("shift"),
+        p.one_of(K.CLASSES, "class").alias("any_class"),
+        p.one_of(K.SENSITIVE_CLASSES, "sensitive").alias("sensitive"),
+        p.below(n_slot, "slot").alias("slot"),
+        p.one_of(K.NORMAL_ACTIONS, "action").alias("normal"),
+        p.one_of(("privilege_change", "delete"), "overt").alias("overt"),
+        p.one_of(("read", "download", "search"), "quiet").alias("quiet"),
+        p.one_of(("read", "download"), "crossing").alias("crossing"),
+        p.one_of(("01", "02", "03", "23"), "night").alias("night"),
+        p.between(1, 4, "step").alias("step"),
+        F.concat_ws(
+            ".", F.lit("10"), p.between(1, 12, "ip1").cast("string"),
+            p.between(0, 255, "ip2").cast("string"), p.between(1, 254, "ip3").cast("string"),
+        ).alias("office_ip"),
+        F.concat(F.lit("198.51.100."), p.between(1, 254, "ip4").cast("string")).alias("outside_ip"),
+        F.concat(F.lit("unmanaged-"), p.between(1000, 9999, "device").cast("string")).alias("stray"),
+    )
+
+    def when_scenario(name: str) -> Column:
+        return F.col("is_anomaly") & (F.col("scenario") == name)
+
+    priv, bulk = when_scenario("priv_action"), when_scenario("bulk_sensitive")
+    night, cross = when_scenario("off_hours_sensitive"), when_scenario("cross_dept_normal")
+    stray = when_scenario("unknown_device")
+    home = F.when(F.col("same"), F.col("dept")).otherwise(F.col("any_dept"))
+    target = (
+        F.when(priv | bulk | night, F.col("any_dept"))
+        .when(cross, F.pmod(F.col("dept") + F.col("shift"), F.lit(n_dept)))
+        .otherwise(home)
+    )
+    cls = F.when(bulk | night, F.col("sensitive")).otherwise(F.col("any_class"))
+    action = (
+        F.when(priv, F.col("overt")).when(bulk, F.lit("bulk_download"))
+        .when(night, F.col("quiet")).when(cross, F.col("crossing")).otherwise(F.col("normal"))
+    )
+    moment = iso_text(
+        F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("row") * F.col("step")).cast("int"))
+    )
+    at = F.when(night, F.concat(F.substring(moment, 1, 11), F.col("night"), F.substring(moment, 14, 40))).otherwise(moment)
+    member = F.concat(
+        F.lpad((F.col("dept") + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad(F.col("user").cast("string"), 3, "0")
+    )
+    rows = drawn.select(
+        "row", "is_anomaly", at.alias("occurred_at"), F.concat(F.lit("u-"), member).alias("user_id"),
+        F.when(F.col("user") <= 2, "manager").otherwise("analyst").alias("role"),
+        _at(K.DEPARTMENTS, F.col("dept")).alias("department"),
+        _resource(_at(K.DEPARTMENTS, target), cls, F.col("slot")).alias("resource_id"),
+        cls.alias("resource_class"), action.alias("action"),
+        F.when(stray, F.col("outside_ip")).otherwise(F.col("office_ip")).alias("source_ip"),
+        F.when(stray, F.col("stray")).otherwise(F.concat(F.lit("managed-"), member)).alias("device_id"),
+        F.when(F.col("is_anomaly"), F.col("scenario")).alias("anomaly_reason"),
+    )
+    session = F.concat(
+        F.lit("session-"), F.col("user_id"), F.lit("-"), F.replace(F.substring("occurred_at", 1, 10), F.lit("-"), F.lit(""))
+    )
+    return rows.select(
+        "row", uuid_text(F.lit("access"), F.lit(str(seed)), F.col("row")).alias("event_id"),
+        F.lit("access").alias("event_type"), "occurred_at", "user_id", "role", "department",
+        "resource_id", "resource_class", "action", "source_ip", "device_id",
+        session.alias("session_id"), "is_anomaly", "anomaly_reason",
+    )
+
+
+def document_table(
+    base: DataFrame, row: str, *, seed: int = K.ACCESS_SEED,
+    generic_rate: float = K.GENERIC_RATE, hard_rate: float = K.DISTRACTOR_RATE,
+) -> DataFrame:
+    """Labelled documents: classes in turn, 2-4 sentences of the class, sometimes one
+    of another class and one that fits any, in shuffled order."""
+    p = Picks(F.col(row), seed)
+    n_cls = len(K.CLASSES)
+
+    def sentence(cls: Column, tag: str) -> Column:
+        templates = F.array(*[F.array(*[F.lit(t) for t in K.DOCUMENT_TEMPLATES[c]]) for c in K.CLASSES])
+        text = F.element_at(
+            F.element_at(templates, (cls + 1).cast("int")),
+            (p.below(len(K.DOCUMENT_TEMPLATES["PII"]), tag + " template") + 1).cast("int"),
+        )
+        for slot, values in K.DOCUMENT_SLOTS.items():
+            text = F.replace(text, F.lit("{" + slot + "}"), p.one_of(values, f"{tag} {slot}"))
+        return text
+
+    own = F.pmod(F.col(row), F.lit(n_cls))
+    other = F.pmod(own + p.between(1, n_cls - 1, "other class"), F.lit(n_cls))
+
+    def placed(text: Column, tag: str, used: Column | None = None) -> Column:
+        entry = F.struct(p.below(1 << 30, tag + " place").alias("place"), text.alias("text"))
+        return entry if used is None else F.when(used, entry)
+
+    count = p.between(2, 4, "sentences")
+    pieces = F.array_compact(
+        F.array(
+            placed(sentence(own, "s1"), "s1"),
+            placed(sentence(own, "s2"), "s2"),
+            placed(sentence(own, "s3"), "s3", count >= 3),
+            placed(sentence(own, "s4"), "s4", count >= 4),
+            placed(sentence(other, "s5"), "s5", p.chance(hard_rate, "hard")),
+            placed(p.one_of(K.GENERIC_SENTENCES, "generic text"), "s6", p.chance(generic_rate, "generic")),
+        )
+    )
+    return base.select(
+        F.col(row).cast("bigint").alias("row"),
+        F.format_string(f"doc-{seed}-%05d", F.col(row)).alias("document_id"),
+        F.array_join(F.array_sort(pieces)["text"], " ").alias("text"),
+        _at(K.CLASSES, own).alias("label"),
+    )
