@@ -56,12 +56,12 @@ def with_signals(scored: DataFrame) -> DataFrame:
 
 
 def decision_id_of() -> Column:
-    """Derived from the event, so a replayed event repeats its decision id."""
+    """Derived from the whole event: a replayed event repeats its decision id, and
+    events that differ anywhere never share one."""
     return uuid_text(
         F.lit("decision"), F.col("event_id"), F.col("source"), F.col("occurred_at"),
-        F.coalesce(F.col("access.user_id"), F.col("content.document_id")),
-        F.coalesce(F.col("access.resource_id"), F.md5(F.col("content.text"))),
-        F.col("access.action"),
+        *[F.col(f"access.{n}") for n in K.ACCESS_REQUIRED + K.ACCESS_OPTIONAL],
+        F.col("content.document_id"), F.md5(F.col("content.text")), F.col("content.label"),
     )
 
 

@@ -68,22 +68,40 @@ def _grow(points: np.ndarray, rng: np.random.Generator) -> list[list[float]]:
     return rows
 
 
-def _path_lengths(nodes: pd.DataFrame, points: np.ndarray) -> np.ndarray:
-    """Summed path length of every point over all trees in ``nodes``."""
-    total = np.zeros(len(points))
-    for _, tree in nodes.groupby("tree"):
-        tree = tree.sort_values("node")
-        feature, cut = tree["feature"].to_numpy(), tree["cut"].to_numpy()
-        left, right, length = (tree[c].to_numpy() for c in ("left", "right", "length"))
-        at = np.zeros(len(points), dtype=np.int64)
-        moving = np.flatnonzero(feature[at] >= 0)
+class _Stack:
+    """All trees side by side as (tree, node) arrays, walked together."""
+
+    def __init__(self, nodes: pd.DataFrame):
+        nodes = nodes.sort_values(["tree", "node"])
+        tree = nodes["tree"].rank(method="dense").astype(int).to_numpy() - 1
+        self.trees, width = int(tree.max()) + 1, int(nodes["node"].max()) + 1
+        at = tree * width + nodes["node"].to_numpy()
+
+        def spread(name: str, kind) -> np.ndarray:
+            out = np.zeros(self.trees * width, dtype=kind)
+            out[at] = nodes[name].to_numpy()
+            return out
+
+        self.feature, self.cut, self.length = spread("feature", np.int64), spread("cut", float), spread("length", float)
+        base = tree * width
+        self.left, self.right = (np.zeros(self.trees * width, dtype=np.int64) for _ in range(2))
+        self.left[at] = base + nodes["left"].to_numpy()
+        self.right[at] = base + nodes["right"].to_numpy()
+        self.roots = np.arange(self.trees, dtype=np.int64) * width
+        self.scale = average_path(int(nodes["sample"].max())) or 1.0
+
+    def scores(self, points: np.ndarray) -> np.ndarray:
+        """2^(-mean path / c(sample)) of every point."""
+        row = np.repeat(np.arange(len(points)), self.trees)
+        at = np.tile(self.roots, len(points))
+        moving = np.flatnonzero(self.feature[at] >= 0)
         while len(moving):
             here = at[moving]
-            go = points[moving, feature[here]] <= cut[here]
-            at[moving] = np.where(go, left[here], right[here])
-            moving = moving[feature[at[moving]] >= 0]
-        total += length[at]
-    return total
+            go = points[row[moving], self.feature[here]] <= self.cut[here]
+            at[moving] = np.where(go, self.left[here], self.right[here])
+            moving = moving[self.feature[at[moving]] >= 0]
+        mean = self.length[at].reshape(len(points), self.trees).mean(axis=1)
+        return np.power(2.0, -mean / self.scale)
 
 
 def tree_samples(
@@ -175,12 +193,11 @@ def raw_scores(vectors: DataFrame, nodes: DataFrame, vector: str = "vector", nam
 
     @F.pandas_udf(T.DoubleType())
     def walk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = forest.value
-        n_trees = table["tree"].nunique()
-        scale = average_path(int(table["sample"].max())) or 1.0
+        stack = _Stack(forest.value)
         for batch in batches:
             points = np.stack(batch.to_numpy()).astype(np.float64)
-            yield pd.Series(np.power(2.0, -_path_lengths(table, points) / n_trees / scale))
+            parts = np.array_split(points, max(1, len(points) // 2000))
+            yield pd.Series(np.concatenate([stack.scores(p) for p in parts]))
 
     return vectors.withColumn(name, walk(F.col(vector)))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel import schemas as S
+from gavel.functions.plan import pin
 
 MISSING_ID = "decision is missing decision_id"
 DUPLICATE = "decision already exists"
@@ -40,7 +41,7 @@ def record(batch: DataFrame, stored_ids: DataFrame, order: Column) -> tuple[Data
     stays spread over all tasks. The ledger side is reduced to the ids of this
     batch first: with a small batch the stored table is only streamed past.
     """
-    marked = batch.withColumn("_order", order)
+    marked = pin(batch.withColumn("_order", order), "decision_id", "_order")
     has_id = F.length(F.coalesce("decision_id", F.lit(""))) > 0
     valid = marked.filter(has_id)
     winners = valid.groupBy("decision_id").agg(F.min("_order").alias("_order"))
@@ -92,6 +93,12 @@ def get(ledger: DataFrame, decision_id: str, *, required: bool = False) -> DataF
     return found
 
 
+def lookup(ledger: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Bulk read: every candidate (``decision_id``) with its stored row, or ``found`` false."""
+    stored = ledger.withColumn("found", F.lit(True))
+    return candidates.join(stored, "decision_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def exists(ledger: DataFrame, candidates: DataFrame) -> DataFrame:
     """The candidates (``decision_id``) that are stored."""
     return candidates.join(ledger.select("decision_id"), "decision_id", "left_semi")

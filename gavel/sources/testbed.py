@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gavel import constants as K
 from gavel.functions.clock import iso_text
 from gavel.functions.keys import uuid_text
+from gavel.functions.plan import pin
 from gavel.operators.contracts import split_valid, with_errors
 from gavel.operators.normalize import normalize_table, union_planes
 
@@ -53,7 +54,7 @@ def access_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ip = F.when(k % 7 == 0, F.concat(F.lit("198.51.100."), k.cast("string"))).otherwise(
         F.concat_ws(".", F.lit("10"), (u % 12 + 1).cast("string"), F.lit("0"), k.cast("string"))
     )
-    return ev.select(
+    rows = ev.select(
         F.col("event_id").alias("seq"),
         uuid_text(F.col("event_id")).alias("event_id"),
         iso_text(F.col("ts")).alias("occurred_at"),
@@ -68,12 +69,13 @@ def access_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (kind == "error").alias("is_anomaly"),
         k.alias("k"),
     )
+    return pin(rows, *rows.columns)  # stands in for a stored log, so it is derived once
 
 
 def dirty_access_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The access log with every kind of contract violation worked in, by ``k``."""
     r, k = access_records(spark, sf_dir), F.col("k")
-    return r.withColumns(
+    dirty = r.withColumns(
         {
             "event_id": F.when(k == 11, F.lit("")).when(k == 12, F.lit("not-a-uuid")).otherwise(F.col("event_id")),
             "action": F.when(k == 21, F.lit(None)).when(k == 22, F.lit("format_disk")).otherwise(F.col("action")),
@@ -82,6 +84,7 @@ def dirty_access_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             "occurred_at": F.when(k == 51, F.lit("not-a-date")).when(k == 52, F.lit(None)).otherwise(F.col("occurred_at")),
         }
     )
+    return pin(dirty, *dirty.columns)
 
 
 def content_records(spark: SparkSession, sf_dir: str) -> DataFrame:

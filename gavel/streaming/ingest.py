@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gavel import schemas as S
 from gavel.functions.clock import now_iso
 from gavel.functions.keys import decoded_key, output_key, plane_of_key
 from gavel.operators.contracts import fail_on_error, split_valid, with_errors
@@ -17,74 +18,83 @@ from gavel.sources.decisions import sorted_columns
 from gavel.sources.records import JsonFields, stream_jsonl
 
 
-def normalized_stream(lines: DataFrame, ingested_at: str) -> DataFrame:
+def key_under(root: str, path: Column) -> Column:
+    """Object key: the decoded path below ``root``."""
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
+    return F.regexp_replace(decoded_key(path), f"^.*?\\Q{base}/\\E", "")
+
+
+def normalized_stream(lines: DataFrame, root: str, ingested_at: str) -> DataFrame:
     """Canonical events of JSON lines; the object key declares the plane.
 
     A key that names no plane, or both, makes its records dead letters.
     """
-    key = decoded_key(F.col("source_file"))
     fields = JsonFields(F.col("record"))
-    keyed = lines.withColumns({"_key": key, "plane": F.coalesce(plane_of_key(key), F.lit("ambiguous key"))})
+    keyed = lines.withColumn("key", key_under(root, F.col("source_file")))
     events = normalize(
-        keyed, fields, plane=F.col("plane"), source=F.col("_key"), ingested_at=ingested_at, keep=("malformed",)
+        keyed, fields, plane=F.coalesce(plane_of_key(F.col("key")), F.lit("ambiguous key")),
+        source=decoded_key(F.col("source_file")), ingested_at=ingested_at, keep=("malformed", "key"),
     )
     unreadable = F.array(F.lit("malformed JSON"))
-    return events.withColumn("problems", F.when(F.col("malformed"), unreadable).otherwise(F.col("problems"))).drop("malformed")
+    problems = F.when(F.col("malformed"), unreadable).otherwise(F.col("problems"))
+    return events.withColumn("problems", problems).drop("malformed")
 
 
-def write_outputs(governed: DataFrame, dead: DataFrame, out: str, batch: int) -> None:
-    """``events``, ``decisions`` and ``dead`` under ``out``, one folder per batch.
+def govern_batch(
+    batch: DataFrame, batch_id: int, *, root: str, out: str, ledger: str | None, ingested_at: str,
+    fail_fast: bool = False, **ports,
+) -> None:
+    """One micro-batch: normalise, check, decide, write, record.
 
-    Overwriting the batch's own folder makes a replay rewrite, not append.
+    The scored batch is written once to a staging folder with a row number, and
+    everything else reads it back: outputs agree with each other, a lost
+    executor costs no rescoring, and the numbers that order copies of one id
+    cannot change between the two sides of the ledger's join.
     """
-    def put(df: DataFrame, name: str) -> None:
-        target = f"{out}/{name}/batch={batch:010d}"
-        with_key = sorted_columns(df).withColumn("source_file", output_key(F.regexp_extract("source", r"(raw/.*|[^/]*/[^/]*)$", 1)))
-        with_key.write.mode("overwrite").partitionBy("data_plane", "source_file").json(target)
-
-    event_columns = ["event_id", "event_type", "occurred_at", "source", "content", "access"]
-    put(governed.select("data_plane", *event_columns), "events")
-    keep = [c for c in decisions_of(governed).columns if c in governed.columns]
-    put(governed.select("data_plane", "source", *keep), "decisions")
-    put(dead.withColumn("data_plane", F.coalesce("data_plane", F.lit("unknown"))), "dead")
+    spark = batch.sparkSession
+    checked = with_errors(normalized_stream(batch, root, ingested_at))
+    if fail_fast:
+        valid, dead = fail_on_error(checked), None
+    else:
+        valid, dead = split_valid(checked)
+    folder = f"batch={batch_id:010d}"
+    staged_path = f"{out}/staged/{folder}"
+    governed = govern(valid, decided_at=ingested_at, **ports)
+    numbered = governed.withColumn("seq", F.monotonically_increasing_id())
+    numbered.write.mode("overwrite").parquet(staged_path)
+    staged = spark.read.schema(numbered.schema).parquet(staged_path)
 
+    def put(df: DataFrame, name: str) -> None:
+        rows = sorted_columns(df.withColumn("source_file", output_key(F.col("key"))).drop("key"))
+        rows.write.mode("overwrite").partitionBy("data_plane", "source_file").json(f"{out}/{name}/{folder}")
 
-def govern_batch(
-    batch: DataFrame, batch_id: int, *, out: str, ledger: str | None, ingested_at: str, fail_fast: bool = False, **ports
-) -> None:
-    """One micro-batch: normalise, check, decide, write, record."""
-    checked = with_errors(normalized_stream(batch, ingested_at))
-    checked = checked.persist()
-    try:
-        if fail_fast:
-            valid, dead = fail_on_error(checked), checked.limit(0)
-        else:
-            valid, dead = split_valid(checked)
-        governed = govern(valid, decided_at=ingested_at, **ports)
-        write_outputs(governed, dead, out, batch_id)
-        if ledger:
-            # Copies of an event share a decision id; any one of them may win, the
-            # content is the same. The random-free order keeps retries equal.
-            order = F.struct("decided_at", F.col("event_id"), F.xxhash64("rule_ids", "action"), F.monotonically_increasing_id())
-            ledger_append(decisions_of(governed), ledger, order, ingested_at)
-    finally:
-        checked.unpersist()
+    event_columns = ["event_id", "event_type", "data_plane", "occurred_at", "source", "content", "access"]
+    put(staged.select("key", *event_columns), "events")
+    decision = [c for c in S.DECISION.fieldNames() if c in staged.columns]
+    put(staged.select("key", "data_plane", *decision), "decisions")
+    if dead is not None:
+        put(dead, "dead")
+    if ledger:
+        ledger_append(decisions_of(staged).withColumn("seq", staged["seq"]), ledger, F.col("seq"), ingested_at)
 
 
 def start_ingest(
-    spark: SparkSession, raw: str, out: str, checkpoint: str, *, ledger: str | None = None,
+    spark: SparkSession, raw: str, out: str, checkpoint: str, *, root: str | None = None, ledger: str | None = None,
     max_files: int = 1000, fail_fast: bool = False, ingested_at: str | None = None, **ports,
 ) -> StreamingQuery:
     """Start ingesting ``raw`` until everything that has arrived is done.
 
-    Each micro-batch is deterministic in its files, and both outputs tolerate a
-    replay: folders are overwritten and the ledger refuses ids it has.
+    Object keys are paths below ``root`` (default: the folder that holds
+    ``raw``). Outputs tolerate a replay of a micro-batch: its folders are
+    overwritten and the ledger refuses ids it has.
     """
     lines = stream_jsonl(spark, raw, max_files=max_files)
+    base = root or raw.rstrip("/").rsplit("/", 1)[0]
 
     def each(batch: DataFrame, batch_id: int) -> None:
         govern_batch(
-            batch, batch_id, out=out, ledger=ledger, ingested_at=ingested_at or now_iso(), fail_fast=fail_fast, **ports
+            batch, batch_id, root=base, out=out, ledger=ledger, ingested_at=ingested_at or now_iso(),
+            fail_fast=fail_fast, **ports,
         )
 
     return (
