@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FIELD_MARK = "|"
+UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 
 def uuid_text(*parts: Column) -> Column:
@@ -16,10 +17,6 @@ def uuid_text(*parts: Column) -> Column:
     return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
 
 
-def is_uuid(text: Column) -> Column:
-    return text.rlike(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z")
-
-
 def plane_of_key(key: Column) -> Column:
     """Plane declared by an object key; null when it names neither or both."""
     k = F.lower(key)

@@ -7,85 +7,81 @@ from pyspark.sql import functions as F
 
 from gavel import constants as K
 from gavel.functions.clock import iso_hour
-from gavel.functions.keys import is_uuid
-from gavel.functions.plan import pin
+from gavel.functions.keys import UUID
+from gavel.functions.plan import first_of, pin, quoted
 
-Check = tuple[str, Column]  # (name, True when violated)
+Check = tuple[str, str]  # (name, SQL that is true when violated)
 
 
-def _empty(c: Column) -> Column:
-    return F.coalesce(c, F.lit("")) == ""
+def _empty(column: str) -> str:
+    return f"coalesce({column}, '') = ''"
 
 
-def _not_in(c: Column, values, *, optional: bool = False) -> Column:
-    inside = c.isin(*values)
-    return F.coalesce(~inside, F.lit(not optional))
+def _not_in(column: str, values, *, optional: bool = False) -> str:
+    return f"coalesce({column} NOT IN ({quoted(values)}), {str(not optional).lower()})"
 
 
-def event_checks(*, strict_datetime: bool = False) -> list[Check]:
-    """Canonical event contract. Date-times are free text unless ``strict_datetime``."""
-    c, a = "content.", "access."
-    on_content, on_access = F.col("content").isNotNull(), F.col("access").isNotNull()
-    moment = F.col("occurred_at").isNull()
-    if strict_datetime:
-        moment = moment | iso_hour(F.col("occurred_at")).isNull()
+def _not_uuid(column: str) -> str:
+    return f"NOT coalesce({column} RLIKE '{UUID}', false)"
 
-    def one_plane(name: str) -> Column:
-        return (F.col("event_type") == name) & (F.col("data_plane") == name)
 
-    fits = (on_content & ~on_access & one_plane("content")) | (on_access & ~on_content & one_plane("access"))
+def event_checks() -> list[Check]:
+    """Canonical event contract. Date-times are free text here; see ``with_errors``."""
+    fits = " OR ".join(
+        f"({one} IS NOT NULL AND {other} IS NULL AND event_type = '{one}' AND data_plane = '{one}')"
+        for one, other in (K.PLANES, K.PLANES[::-1])
+    )
+    content, access = "content IS NOT NULL AND ", "access IS NOT NULL AND "
     return [
-        ("event_id", ~F.coalesce(is_uuid(F.col("event_id")), F.lit(False))),
-        ("event_type", _not_in(F.col("event_type"), K.PLANES)),
-        ("data_plane", _not_in(F.col("data_plane"), K.PLANES)),
-        ("occurred_at", moment),
-        ("source", _empty(F.col("source"))),
-        ("one_of", ~F.coalesce(fits, F.lit(False))),
-        *[(c + n, on_content & _empty(F.col(c + n))) for n in K.CONTENT_REQUIRED],
-        ("content.label", on_content & _not_in(F.col(c + "label"), K.CLASSES, optional=True)),
+        ("event_id", _not_uuid("event_id")),
+        ("event_type", _not_in("event_type", K.PLANES)),
+        ("data_plane", _not_in("data_plane", K.PLANES)),
+        ("occurred_at", "occurred_at IS NULL"),
+        ("source", _empty("source")),
+        ("one_of", f"NOT coalesce({fits}, false)"),
+        *[(f"content.{n}", content + _empty(f"content.{n}")) for n in K.CONTENT_REQUIRED],
+        ("content.label", content + _not_in("content.label", K.CLASSES, optional=True)),
         *[
-            (a + n, on_access & _empty(F.col(a + n)))
+            (f"access.{n}", access + _empty(f"access.{n}"))
             for n in ("user_id", "role", "department", "resource_id")
         ],
-        ("access.resource_class", on_access & _not_in(F.col(a + "resource_class"), K.CLASSES)),
-        ("access.action", on_access & _not_in(F.col(a + "action"), K.ACTIONS)),
+        ("access.resource_class", access + _not_in("access.resource_class", K.CLASSES)),
+        ("access.action", access + _not_in("access.action", K.ACTIONS)),
     ]
 
 
 def decision_checks() -> list[Check]:
     """Governance decision contract."""
-    ids, s = F.col("rule_ids"), "signals."
-
-    def outside(name: str) -> Column:
-        return F.coalesce(~F.col(name).between(0.0, 1.0), F.lit(False))
-
+    s = "signals."
     return [
-        ("decision_id", ~F.coalesce(is_uuid(F.col("decision_id")), F.lit(False))),
-        ("event_id", ~F.coalesce(is_uuid(F.col("event_id")), F.lit(False))),
-        ("decided_at", F.col("decided_at").isNull()),
-        ("action", _not_in(F.col("action"), K.DECISION_ACTIONS)),
-        ("rule_ids.empty", F.coalesce(F.size(ids) < 1, F.lit(True))),
-        ("rule_ids.blank", F.coalesce(F.array_contains(ids, ""), F.lit(False))),
-        ("rule_ids.repeated", F.coalesce(F.size(F.array_distinct(ids)) < F.size(ids), F.lit(False))),
-        ("signals", F.col("signals").isNull()),
-        ("signals.content_class", _not_in(F.col(s + "content_class"), K.CLASSES, optional=True)),
-        ("signals.content_confidence", outside(s + "content_confidence")),
-        ("signals.fused_anomaly_score", outside(s + "fused_anomaly_score")),
+        ("decision_id", _not_uuid("decision_id")),
+        ("event_id", _not_uuid("event_id")),
+        ("decided_at", "decided_at IS NULL"),
+        ("action", _not_in("action", K.DECISION_ACTIONS)),
+        ("rule_ids.empty", "coalesce(size(rule_ids) < 1, true)"),
+        ("rule_ids.blank", "coalesce(array_contains(rule_ids, ''), false)"),
+        ("rule_ids.repeated", "coalesce(size(array_distinct(rule_ids)) < size(rule_ids), false)"),
+        ("signals", "signals IS NULL"),
+        ("signals.content_class", _not_in(s + "content_class", K.CLASSES, optional=True)),
+        *[
+            (s + n, f"coalesce({s}{n} NOT BETWEEN 0 AND 1, false)")
+            for n in ("content_confidence", "fused_anomaly_score")
+        ],
     ]
 
 
 def violations(checks: list[Check]) -> Column:
     """Names of the violated checks, in contract order."""
-    return F.array_except(
-        F.array(*[F.when(bad, F.lit(name)) for name, bad in checks]),
-        F.array(F.lit(None).cast("string")),
-    )
+    return F.expr(first_of(checks))
 
 
 def with_errors(events: DataFrame, *, strict_datetime: bool = False) -> DataFrame:
     """``errors``: normalisation problems first; a record that has none is checked
-    against the event contract."""
-    contract = violations(event_checks(strict_datetime=strict_datetime))
+    against the event contract. ``strict_datetime`` also asks for ISO date-times."""
+    contract = violations(event_checks())
+    if strict_datetime:
+        late = F.when(iso_hour(F.col("occurred_at")).isNull(), F.array(F.lit("occurred_at")))
+        contract = F.array_union(contract, F.coalesce(late, F.array().cast("array<string>")))
     found = F.when(F.size("problems") > 0, F.col("problems")).otherwise(contract)
     return pin(events.withColumn("errors", found).drop("problems"), "errors")
 

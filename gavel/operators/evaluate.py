@@ -45,33 +45,27 @@ def with_rates(counts: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, score: str, truth: Column, by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve of scores in [0, 1], per ``by``.
 
-    Counts the (positive, negative) pairs in the right order, ties half, from
-    running totals: rows collapse to distinct scores map-side, totals run over
-    ten thousand coarse cells, then over the cells inside each, then inside one
-    fine cell, so no window ever covers all the scores.
+    Counts the (positive, negative) pairs in the right order, ties half. Rows
+    collapse to distinct scores map-side; pairs are then counted inside fine
+    cells of the score range, between fine cells of one coarse cell and between
+    the ten thousand coarse cells, each level working on the sums of the last,
+    so no window ever covers all the scores and the input is read once.
     """
     by = list(by)
     s = F.col(score)
-    points = df.groupBy(*by, s.alias("s")).agg(
-        F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg")
-    )
-    points = points.withColumns(
-        {"c1": F.floor(F.col("s") * 1e4), "c2": F.floor(F.col("s") * 1e8)}
-    )
-
-    def below(counted: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return counted.withColumn(name, F.coalesce(F.sum("neg").over(w), F.lit(0)))
-
-    fine = points.groupBy(*by, "c1", "c2").agg(F.sum("neg").alias("neg"))
-    coarse = below(fine.groupBy(*by, "c1").agg(F.sum("neg").alias("neg")), by, "c1", "b1").drop("neg")
-    middle = below(fine, [*by, "c1"], "c2", "b2").drop("neg").join(coarse, [*by, "c1"])
-    inner = below(points, [*by, "c1", "c2"], "s", "b3").join(middle, [*by, "c1", "c2"])
-    lower = F.col("b1") + F.col("b2") + F.col("b3") + F.col("neg") / 2
-    n_pos, n_neg = F.sum("pos"), F.sum("neg")
-    return inner.groupBy(*by).agg(
-        (F.sum(F.col("pos") * lower) / F.nullif(n_pos.cast("double") * n_neg, F.lit(0.0))).alias("roc_auc")
+    level = (
+        df.groupBy(*by, s.alias("s"))
+        .agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
+        .withColumns({"c1": F.floor(F.col("s") * 1e4), "c2": F.floor(F.col("s") * 1e8)})
+        .withColumn("pairs", F.col("pos") * F.col("neg") / 2)
     )
+    for cell, order in (([*by, "c1", "c2"], "s"), ([*by, "c1"], "c2"), (by, "c1")):
+        before = Window.partitionBy(*cell).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        below = F.coalesce(F.sum("neg").over(before), F.lit(0))
+        counted = level.withColumn("pairs", F.col("pairs") + F.col("pos") * below)
+        level = counted.groupBy(*cell).agg(*[F.sum(c).alias(c) for c in ("pairs", "pos", "neg")])
+    all_pairs = F.nullif(F.col("pos").cast("double") * F.col("neg"), F.lit(0.0))
+    return level.select(*by, (F.col("pairs") / all_pairs).alias("roc_auc"))
 
 
 def confusion_matrix(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
@@ -134,23 +128,21 @@ def best_model(reports: DataFrame) -> DataFrame:
     return reports.orderBy(F.desc("macro_f1"), "model").limit(1)
 
 
-def thresholds_passed(score: Column, thresholds: Sequence[float] = K.SWEEP_THRESHOLDS) -> Column:
-    """How many of the ascending, evenly spaced thresholds the score reaches.
+def with_slot(df: DataFrame, thresholds: Sequence[float], score: str = "score") -> DataFrame:
+    """Adds ``slot``: how many of the ascending, evenly spaced thresholds the score reaches.
 
-    Arithmetic gives the cell to within one; comparing with the two thresholds
+    Arithmetic gives the slot to within one; comparing with the two thresholds
     around it makes ``score >= threshold`` exact for every one of them.
     """
     n, first, step = len(thresholds), thresholds[0], thresholds[1] - thresholds[0]
     table = F.array(*[F.lit(float(t)) for t in thresholds])
-    near = F.floor((score - first) / step).cast("int")  # index of the last one reached, roughly
-    safe = F.greatest(F.lit(0), F.least(F.lit(n), near))  # certainly reached: all before this
+    certain = F.greatest(F.lit(0), F.least(F.lit(n), F.floor((F.col(score) - first) / step).cast("int")))
 
-    def reached(i: Column) -> Column:
-        inside = i <= n
-        at = F.element_at(table, F.least(i, F.lit(n)))
-        return F.when(inside & (score >= at), F.lit(1)).otherwise(F.lit(0))
+    def reached(ahead: int) -> Column:
+        at = F.get(table, F.col("_certain") + (ahead - 1))  # null past the last threshold
+        return F.when(F.col(score) >= at, F.lit(1)).otherwise(F.lit(0))
 
-    return safe + reached(safe + 1) + reached(safe + 2)
+    return df.withColumn("_certain", certain).withColumn("slot", F.col("_certain") + reached(1) + reached(2))
 
 
 def sweep(
@@ -163,14 +155,11 @@ def sweep(
     the slot "reaches k thresholds", and suffix sums over the slots give each
     threshold its counts. The shuffle carries weights x slots partial counts.
     """
-    slots = F.array(
-        *[
-            F.struct(F.lit(float(w)).alias("weight"), thresholds_passed(fuse(iso, sequence, w), thresholds).alias("slot"))
-            for w in weights
-        ]
+    fused = F.array(
+        *[F.struct(F.lit(float(w)).alias("weight"), fuse(iso, sequence, w).alias("score")) for w in weights]
     )
     counted = (
-        df.select(truth.alias("y"), F.inline(slots))
+        with_slot(df.select(truth.alias("y"), F.inline(fused)), thresholds)
         .groupBy("weight", "slot")
         .agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
     )
@@ -181,14 +170,9 @@ def threshold_sweep(
     df: DataFrame, scores: dict[str, Column], truth: Column, thresholds: Sequence[float] = K.SWEEP_THRESHOLDS
 ) -> DataFrame:
     """Confusion rates of every threshold for each named score."""
-    slots = F.array(
-        *[
-            F.struct(F.lit(name).alias("scorer"), thresholds_passed(c, thresholds).alias("slot"))
-            for name, c in scores.items()
-        ]
-    )
+    named = F.array(*[F.struct(F.lit(name).alias("scorer"), c.alias("score")) for name, c in scores.items()])
     counted = (
-        df.select(truth.alias("y"), F.inline(slots))
+        with_slot(df.select(truth.alias("y"), F.inline(named)), thresholds)
         .groupBy("scorer", "slot")
         .agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
     )

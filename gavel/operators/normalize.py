@@ -12,38 +12,24 @@ from pyspark.sql import functions as F
 from gavel import constants as K
 from gavel import schemas as S
 from gavel.functions.keys import uuid_text
+from gavel.functions.plan import first_of
 from gavel.sources.records import ColumnFields, JsonFields
 
 
-def _filled(text: Column) -> Column:
-    return F.when(text != "", text)
-
-
 def _struct(fields, names, schema) -> Column:
-    return F.struct(*[fields.text(n).alias(n) for n in names]).cast(schema)
+    parts = ", ".join(f"'{n}', {fields.text(n)}" for n in names)
+    return F.expr(f"CAST(named_struct({parts}) AS {schema.simpleString()})")
 
 
-def _problems(*checks: tuple[Column, str]) -> Column:
-    return F.array_except(
-        F.array(*[F.when(bad, F.lit(name)) for bad, name in checks]),
-        F.array(F.lit(None).cast("string")),
-    )
-
+def _access_checks(fields) -> list[tuple[str, str]]:
+    missing = [(f"missing {n}", f"NOT ({fields.present(n)})") for n in K.ACCESS_REQUIRED]
+    return missing + [(f"access.{n}", fields.wrong_type(n)) for n in K.ACCESS_REQUIRED + K.ACCESS_OPTIONAL]
 
-def _access_checks(fields) -> list[tuple[Column, str]]:
-    missing = [(~fields.present(n), f"missing {n}") for n in K.ACCESS_REQUIRED]
-    typed = [
-        (fields.wrong_type(n), f"access.{n}") for n in K.ACCESS_REQUIRED + K.ACCESS_OPTIONAL
-    ]
-    return missing + typed
 
-
-def _content_checks(fields) -> list[tuple[Column, str]]:
-    missing = [
-        (F.coalesce(fields.text(n), F.lit("")) == "", f"missing {n}") for n in K.CONTENT_REQUIRED
-    ]
-    typed = [(fields.wrong_type(n), f"content.{n}") for n in ("document_id", "text", "label")]
-    return missing + typed + [(fields.wrong_type("metadata", "OBJECT"), "content.metadata")]
+def _content_checks(fields) -> list[tuple[str, str]]:
+    missing = [(f"missing {n}", f"coalesce({fields.text(n)}, '') = ''") for n in K.CONTENT_REQUIRED]
+    typed = [(f"content.{n}", fields.wrong_type(n)) for n in ("document_id", "text", "label")]
+    return missing + typed + [("content.metadata", fields.wrong_type("metadata", "OBJECT"))]
 
 
 def normalize(
@@ -68,23 +54,24 @@ def normalize(
     access = _struct(fields, K.ACCESS_REQUIRED + K.ACCESS_OPTIONAL, S.ACCESS)
     content = _struct(fields, K.CONTENT_REQUIRED + K.CONTENT_OPTIONAL, S.CONTENT)
     derived_id = uuid_text(
-        F.lit("event"), source, plane, *[fields.text(n) for n in (
-            "occurred_at", *K.ACCESS_REQUIRED, *K.ACCESS_OPTIONAL, *K.CONTENT_REQUIRED)]
+        F.lit("event"), source, plane,
+        *[F.expr(fields.text(n)) for n in ("occurred_at", *K.ACCESS_REQUIRED, *K.ACCESS_OPTIONAL, *K.CONTENT_REQUIRED)],
     )
-    shared = [
-        (fields.wrong_type("event_id"), "event_id"),
-        (fields.wrong_type("occurred_at"), "occurred_at"),
-    ]
+    shared = [(n, fields.wrong_type(n)) for n in ("event_id", "occurred_at")]
     problems = (
-        F.when(is_access, _problems(*_access_checks(fields), *shared))
-        .when(is_content, _problems(*_content_checks(fields), *shared))
+        F.when(is_access, F.expr(first_of(_access_checks(fields) + shared)))
+        .when(is_content, F.expr(first_of(_content_checks(fields) + shared)))
         .otherwise(F.array(F.lit("unknown data_plane")))
     )
+
+    def filled(name: str) -> Column:
+        return F.expr(f"nullif({fields.text(name)}, '')")
+
     return df.select(
-        F.coalesce(_filled(fields.text("event_id")), derived_id).alias("event_id"),
+        F.coalesce(filled("event_id"), derived_id).alias("event_id"),
         plane.alias("event_type"),
         plane.alias("data_plane"),
-        F.coalesce(_filled(fields.text("occurred_at")), F.lit(ingested_at)).alias("occurred_at"),
+        F.coalesce(filled("occurred_at"), F.lit(ingested_at)).alias("occurred_at"),
         source.alias("source"),
         F.when(is_content, content).alias("content"),
         F.when(is_access, access).alias("access"),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from gavel import constants as K
 from gavel.functions import features as feat
 from gavel.functions.keys import decoded_key, output_key, plane_of_key
-from gavel.functions.plan import pin
 from gavel.functions.scores import clip01, fuse, min_max, round4
 from gavel.functions.text import normal_form, opening_signature
 from gavel.operators import contracts, corpus, decide, evaluate, ledger, metrics, ranks, rules
@@ -23,6 +22,7 @@ from gavel.operators.normalize import normalize_table
 from gavel.operators.sequences import user_windows
 from gavel.plans.govern import fallback_engine, govern
 from gavel.plans.train import labelled
+from gavel.session import cut_lineage
 from gavel.sources import testbed as B
 from gavel.sources.decisions import compact_json
 from gavel.sources.generated import access_table, document_table
@@ -102,7 +102,7 @@ def mixed_lines(spark, d) -> DataFrame:
 
 def inferred_planes(spark, d):
     lines = parse_lines(mixed_lines(spark, d))
-    plane = infer_plane(JsonFields(F.col("record")))
+    plane = infer_plane(JsonFields("record"))
     return lines.select("id", "malformed", F.when(~F.col("malformed"), plane).alias("plane"))
 
 
@@ -233,31 +233,37 @@ def event_decision_pairs(spark, d):
 # --- ledger ---------------------------------------------------------------------------------------------
 
 
-def stored_ledger(spark, d) -> DataFrame:
-    made = pin(decide.decisions_of(governed(spark, d)), "decision_id")
+def recorded_decisions(spark, d) -> DataFrame:
+    """All decisions, written once: the batch and the stored ledger both come from them."""
+    return cut_lineage(decide.decisions_of(governed(spark, d)))
+
+
+def stored_ledger(made: DataFrame) -> DataFrame:
     rows = made.filter(half()).withColumn("ledger_tx_id", ledger.transaction_id())
     return ledger.ledger_rows(rows, F.col("decided_at"))
 
 
-def ledger_batch(spark, d) -> DataFrame:
+def ledger_batch(made: DataFrame) -> DataFrame:
     """All decisions again, a tenth of them twice and a few without an id."""
-    made = decide.decisions_of(governed(spark, d))
     digit = F.substring("decision_id", 1, 1)
-    made = made.withColumn("decision_id", F.when(F.substring("decision_id", 1, 2) == "00", F.lit(None)).otherwise(F.col("decision_id")))
+    nameless = F.substring("decision_id", 1, 2) == "00"
     copies = F.when(digit == "3", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    made = made.withColumn("decision_id", F.when(~nameless, F.col("decision_id")))
     return made.withColumn("copy", F.explode(copies))
 
 
 def ledger_append(spark, d):
-    batch = ledger_batch(spark, d)
-    accepted, rejected = ledger.record(batch, stored_ledger(spark, d).select("decision_id"), F.col("copy"))
+    made = recorded_decisions(spark, d)
+    accepted, rejected = ledger.record(
+        ledger_batch(made), stored_ledger(made).select("decision_id"), F.col("copy")
+    )
     done = accepted.select("event_id", "decision_id", F.lit("accepted").alias("outcome"), F.col("ledger_tx_id").alias("tx_id"))
     refused = rejected.select("event_id", "decision_id", F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("tx_id"))
     return done.unionByName(refused)
 
 
 def ledger_scan(spark, d):
-    return ledger.scan(decide.from_ledger_rows(stored_ledger(spark, d))).select(
+    return ledger.scan(decide.from_ledger_rows(stored_ledger(recorded_decisions(spark, d)))).select(
         "decision_id", "action", "decided_at", F.col("ledger.transaction_id").alias("transaction_id"),
         F.col("ledger.channel").alias("channel"),
     )
@@ -265,18 +271,19 @@ def ledger_scan(spark, d):
 
 def ledger_lookup(spark, d):
     """The stored row of every decision, or that there is none."""
-    candidates = decide.decisions_of(governed(spark, d)).select("decision_id")
-    stored = stored_ledger(spark, d).select("decision_id", "action", "ledger_tx_id")
-    return ledger.lookup(stored, candidates)
+    made = recorded_decisions(spark, d)
+    stored = stored_ledger(made).select("decision_id", "action", "ledger_tx_id")
+    return ledger.lookup(stored, made.select("decision_id"))
 
 
 def ledger_exists(spark, d):
-    candidates = decide.decisions_of(governed(spark, d)).select("decision_id")
-    return ledger.exists(stored_ledger(spark, d), candidates)
+    made = recorded_decisions(spark, d)
+    return ledger.exists(stored_ledger(made), made.select("decision_id"))
 
 
 def ledger_history(spark, d):
-    return ledger.history(stored_ledger(spark, d)).select("decision_id", "tx_id", "timestamp", "is_delete")
+    rows = stored_ledger(recorded_decisions(spark, d))
+    return ledger.history(rows).select("decision_id", "tx_id", "timestamp", "is_delete")
 
 
 # --- reporting ------------------------------------------------------------------------------------------------

@@ -46,7 +46,7 @@ def upload_events(spark: SparkSession, path: str, ingested_at: str, source: str
     """(normalised events with ``filename``, file-level error rows) of every file under ``path``."""
     lines, broken = reject_broken_files(read_jsonl(spark, path).drop("value"))
     records = lines.withColumn("filename", _file_name(F.col("source_file")))
-    fields = JsonFields(F.col("record"))
+    fields = JsonFields("record")
     prefix = F.concat(F.lit(source + ":"), F.col("filename"))
     from_lines = normalize(
         records, fields, plane=infer_plane(fields), source=prefix, ingested_at=ingested_at, keep=("filename",)

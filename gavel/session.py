@@ -44,6 +44,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     head = df.limit(max_rows + 1).collect()
     if len(head) > max_rows:
         return df
+    if not head:
+        return F.broadcast(df.limit(0))
     return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
 
 

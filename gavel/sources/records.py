@@ -15,28 +15,25 @@ from gavel.functions.text import is_blank, strip
 
 
 class JsonFields:
-    """Fields of a parsed JSON object: absent, null and wrongly typed stay apart."""
+    """Fields of a parsed JSON object (a variant column), as SQL expressions:
+    absent, null and wrongly typed stay apart."""
 
-    def __init__(self, record: Column):
+    def __init__(self, record: str = "record"):
         self.record = record
 
-    def _at(self, name: str) -> Column:
-        return F.variant_get(self.record, f"$.{name}", "variant")
+    def _at(self, name: str) -> str:
+        return f"variant_get({self.record}, '$.{name}', 'variant')"
 
-    def present(self, name: str) -> Column:
-        return self._at(name).isNotNull()
+    def present(self, name: str) -> str:
+        return f"{self._at(name)} IS NOT NULL"
 
-    def text(self, name: str) -> Column:
-        return F.try_variant_get(self.record, f"$.{name}", "string")
+    def text(self, name: str) -> str:
+        return f"try_variant_get({self.record}, '$.{name}', 'string')"
 
-    def flag(self, name: str) -> Column:
-        return F.try_variant_get(self.record, f"$.{name}", "boolean")
-
-    def wrong_type(self, name: str, expected: str = "STRING") -> Column:
+    def wrong_type(self, name: str, expected: str = "STRING") -> str:
         """True for a non-null value of another JSON type."""
-        kind = F.schema_of_variant(self._at(name))
-        right = kind.startswith("OBJECT") if expected == "OBJECT" else kind == expected
-        return F.coalesce(~right & (kind != "VOID"), F.lit(False))
+        kind = f"schema_of_variant({self._at(name)})"
+        return f"coalesce({kind} NOT LIKE '{expected}%' AND {kind} <> 'VOID', false)"
 
 
 class ColumnFields:
@@ -45,17 +42,14 @@ class ColumnFields:
     def __init__(self, df: DataFrame):
         self.names = set(df.columns)
 
-    def present(self, name: str) -> Column:
-        return F.lit(name in self.names)
-
-    def text(self, name: str) -> Column:
-        return F.col(name).cast("string") if name in self.names else F.lit(None).cast("string")
+    def present(self, name: str) -> str:
+        return str(name in self.names).lower()
 
-    def flag(self, name: str) -> Column:
-        return F.col(name).cast("boolean") if name in self.names else F.lit(None).cast("boolean")
+    def text(self, name: str) -> str:
+        return f"CAST(`{name}` AS STRING)" if name in self.names else "CAST(NULL AS STRING)"
 
-    def wrong_type(self, name: str, expected: str = "STRING") -> Column:
-        return F.lit(False)
+    def wrong_type(self, name: str, expected: str = "STRING") -> str:
+        return "false"
 
 
 def _with_file(df: DataFrame) -> DataFrame:
@@ -125,9 +119,9 @@ def list_keys(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
 
 def infer_plane(fields: JsonFields | ColumnFields) -> Column:
     """Plane of an upload record, from the keys it has (an explicit null counts)."""
-    content = fields.present("text") | fields.present("document_id")
-    access = fields.present("action") | fields.present("user_id")
-    return F.when(content, F.lit("content")).when(access, F.lit("access")).otherwise(F.lit("content"))
+    content = f"{fields.present('text')} OR {fields.present('document_id')}"
+    access = f"{fields.present('action')} OR {fields.present('user_id')}"
+    return F.expr(f"CASE WHEN {content} THEN 'content' WHEN {access} THEN 'access' ELSE 'content' END")
 
 
 def with_declared_plane(df: DataFrame, key: str = "source_file") -> DataFrame:

@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from gavel import constants as K
+from gavel.functions.plan import local_table
 
 SCORE_KEYS = (
     "content_confidence",
@@ -82,7 +83,7 @@ def by_severity(rules: Iterable[Rule]) -> list[Rule]:
 def references_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     """``rule_id, reference``, one row per reference."""
     rows = [(r.id, ref) for r in rules for ref in r.references]
-    return spark.createDataFrame(rows, "rule_id string, reference string")
+    return local_table(spark, rows, "rule_id string, reference string")
 
 
 def rules_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
@@ -90,8 +91,8 @@ def rules_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     rows = [
         (r.id, r.action, r.severity, i, r.explanation or "") for i, r in enumerate(by_severity(rules))
     ]
-    return spark.createDataFrame(
-        rows, "rule_id string, action string, severity int, rank int, explanation string"
+    return local_table(
+        spark, rows, "rule_id string, action string, severity int, rank int, explanation string"
     )
 
 
@@ -123,6 +124,6 @@ def conditions_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
                 continue
             values = expected if isinstance(expected, list) else [expected]
             rows += [(rule.id, key, token, None, n) for token in dict.fromkeys(map(_token, values))]
-    return spark.createDataFrame(
-        rows, "rule_id string, key string, token string, at_least double, n_conditions bigint"
+    return local_table(
+        spark, rows, "rule_id string, key string, token string, at_least double, n_conditions bigint"
     )

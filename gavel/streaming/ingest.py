@@ -29,7 +29,7 @@ def normalized_stream(lines: DataFrame, root: str, ingested_at: str) -> DataFram
 
     A key that names no plane, or both, makes its records dead letters.
     """
-    fields = JsonFields(F.col("record"))
+    fields = JsonFields("record")
     keyed = lines.withColumn("key", key_under(root, F.col("source_file")))
     events = normalize(
         keyed, fields, plane=F.coalesce(plane_of_key(F.col("key")), F.lit("ambiguous key")),
