@@ -78,13 +78,14 @@ def with_decision(fired: DataFrame, decided_at: Column | str) -> DataFrame:
     )
 
 
-def decisions_of(governed: DataFrame) -> DataFrame:
-    """The decision table of a governed event table (ledger still empty)."""
+def decisions_of(governed: DataFrame, *keep: str) -> DataFrame:
+    """The decision table of a governed event table (ledger still empty), with the
+    columns ``keep`` beside it."""
     columns = [
         F.col(f.name) if f.name in governed.columns else F.lit(None).cast(f.dataType).alias(f.name)
         for f in S.DECISION.fields
     ]
-    return governed.select(*columns)
+    return governed.select(*columns, *keep)
 
 
 def plane_of(signals: str = "signals") -> Column:

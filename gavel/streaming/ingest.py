@@ -75,7 +75,7 @@ def govern_batch(
     if dead is not None:
         put(dead, "dead")
     if ledger:
-        ledger_append(decisions_of(staged).withColumn("seq", staged["seq"]), ledger, F.col("seq"), ingested_at)
+        ledger_append(decisions_of(staged, "seq"), ledger, F.col("seq"), ingested_at)
 
 
 def start_ingest(
