@@ -97,8 +97,13 @@ def user_windows(
     ``earlier`` (``user, carried``: array of values) is history from before
     ``df``, as a stream keeps it.
     """
-    keys = [user, *within]
-    chunked = with_chunk(df, user, moment, tie, crowded)
+    if earlier is not None and within:
+        raise ValueError("earlier history belongs to users, not to splits of them")
+    # Keys that cannot be null keep both uses of the windowed rows below the same
+    # plan (no inferred null filter on one side), so Spark shuffles them once.
+    named = {f"_key{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate((user, *within))}
+    keys = list(named)
+    chunked = with_chunk(df, user, moment, tie, crowded).withColumns(named)
     in_chunk = Window.partitionBy(*keys, "chunk").orderBy(moment, tie)
     local = chunked.withColumn("_local", F.collect_list(value).over(in_chunk.rowsBetween(1 - size, 0)))
     # The last window of a chunk holds its tail. The grouping is the partitioning
@@ -108,19 +113,20 @@ def user_windows(
         .agg(F.max_by("_local", F.struct(moment, tie)).alias("_tail"))
         .withColumn("_tail", F.slice("_tail", F.greatest(F.size("_tail") - size + 2, F.lit(1)), size - 1))
     )
+    if earlier is not None:  # the chunk before all chunks
+        oldest = F.coalesce(F.col(user).cast("string"), F.lit(""))
+        tails = tails.unionByName(
+            earlier.select(oldest.alias(keys[0]), F.lit("").alias("chunk"), F.col("carried").alias("_tail"))
+        )
     # size - 1 chunks back always hold size - 1 events, if the user has that many.
     before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(1 - size, -1)
     carry = tails.withColumn("_carry", F.flatten(F.collect_list("_tail").over(before))).drop("_tail")
     joined = local.join(carry, [*keys, "chunk"], "left")
     past = F.coalesce("_carry", F.array().cast(carry.schema["_carry"].dataType))
-    if earlier is not None:
-        joined = joined.join(earlier, user, "left")
-        past = F.concat(F.coalesce("carried", F.array().cast(carry.schema["_carry"].dataType)), past)
     both = F.concat(past, F.col("_local"))
     start = F.greatest(F.size(both) - size + 1, F.lit(1))
     window = F.when(F.size("_local") == size, F.col("_local")).otherwise(F.slice(both, start, size))
-    drop = ["_local", "_carry", "chunk"] + (["carried"] if earlier is not None else [])
-    return joined.withColumn("window", window).drop(*drop)
+    return joined.withColumn("window", window).drop(*keys, "_local", "_carry", "chunk")
 
 
 def left_padded(window: Column, size: int = K.WINDOW, pad: int = PAD) -> Column:

@@ -192,3 +192,20 @@ def test_typed_read_reports_or_fails(spark, tmp_path):
         read_typed_jsonl(spark, str(tmp_path / "t.jsonl"), S.RAW_ACCESS, fail_fast=True).collect()
     coded = with_code(loose.filter("user_id IS NOT NULL"), prefix="")
     assert coded.first()["code"] > 0
+
+
+@pytest.mark.parametrize("merge_every", [1, 2, 50])
+def test_window_stream_carries_history(spark, tmp_path, monkeypatch, merge_every):
+    from gavel.streaming import windows
+
+    monkeypatch.setattr(windows, "MERGE_EVERY", merge_every)
+    schema = "user_id string, event_id string, occurred_at string, code int"
+    rows = [("hot" if i % 3 else f"u{i % 4}", f"{i:04d}", f"2026-01-05T{i // 10:02d}:{i % 10:02d}:00+00:00", i) for i in range(90)]
+    state, out = str(tmp_path / "state"), str(tmp_path / "out")
+    sink = lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")
+    parts = [rows[i * 18 : i * 18 + 18] for i in range(5)]
+    for i in (0, 1, 1, 2, 3, 4):  # a replayed batch changes nothing
+        windows.window_batch(spark.createDataFrame(parts[i], schema), i, state, sink=sink)
+    got = {r["event_id"]: r["window"] for r in spark.read.parquet(out).collect()}
+    want = {r["event_id"]: r["window"] for r in user_windows(spark.createDataFrame(rows, schema)).collect()}
+    assert got == want
