@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gavel import constants as K
 from gavel.session import BROADCAST_ROWS
 from gavel.sources.rules import (
-    ALWAYS, AT_LEAST, SCORE_KEYS, TEXT_KEYS, Rule, by_severity, conditions_table, rules_table,
+    ALWAYS, AT_LEAST, REACHES, SCORE_KEYS, Rule, by_severity, conditions_table, rules_table,
 )
 
 
@@ -129,47 +129,44 @@ def first_match(events: DataFrame) -> DataFrame:
     )
 
 
-def context_rows(events: DataFrame, key: str) -> DataFrame:
-    """One row per event and condition key: ``key`` column, ``key_name, token, number``."""
-    ctx = context()
+def context_rows(events: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
+    """What the rules look at, as rows: ``key`` column, ``key, token, number``.
 
-    def token(name: str) -> Column:
-        kind = "number:" if name in SCORE_KEYS else "text:"
-        return F.coalesce(F.concat(F.lit(kind), ctx[name].cast("string")), F.lit("null"))
-
-    def entry(name: Column, tok: Column, number: Column) -> Column:
-        return F.struct(name.alias("key"), tok.alias("token"), number.alias("number"))
-
-    entries = [entry(F.lit(ALWAYS[0]), F.lit(ALWAYS[1]), F.lit(None).cast("double"))]
-    entries += [
-        entry(
-            F.lit(n), token(n),
-            ctx[n] if n in SCORE_KEYS else ctx[n].try_cast("double"),
-        )
-        for n in TEXT_KEYS + SCORE_KEYS
-    ]
+    One row per event and condition key in use, one more per threshold key, and
+    the one every event has.
+    """
+    ctx, nothing = context(), F.lit(None).cast("string")
+    used = dict.fromkeys(k for r in rules for k in r.when)
+
+    def entry(name: str, token: Column, number: Column) -> Column:
+        return F.struct(F.lit(name).alias("key"), token.alias("token"), number.cast("double").alias("number"))
+
+    entries = [entry(ALWAYS[0], F.lit(ALWAYS[1]), F.lit(None))]
+    for name in used:
+        if name.endswith(AT_LEAST):
+            plain = name.removesuffix(AT_LEAST)
+            entries.append(entry(plain, F.lit(REACHES), ctx.get(plain, nothing).try_cast("double")))
+        else:
+            kind = F.lit("number:" if name in SCORE_KEYS else "text:")
+            token = F.concat(kind, ctx.get(name, nothing).cast("string"))
+            entries.append(entry(name, F.coalesce(token, F.lit("null")), F.lit(None)))
     return events.select(F.col(key), F.inline(F.array(*entries)))
 
 
 def matched_pairs(events: DataFrame, rules: list[Rule], key: str) -> DataFrame:
     """``key, rule_id`` of every match, by relational division.
 
-    Equality and list conditions join on (key, token), thresholds on the key
-    with the comparison as residual; a rule matches an event when as many of its
-    conditions were met as it has. Counting starts map-side: the condition rows
-    of one event are produced, joined and pre-aggregated in the same task.
+    Conditions join on (key, token), with the comparison of a threshold as
+    residual; a rule matches an event when as many of its conditions were met as
+    it has. Counting starts map-side: the rows of one event are produced, joined
+    and pre-aggregated in the same task.
     """
+    n_rows = sum(len(v) if isinstance(v, list) else 1 for r in rules for v in r.when.values()) + len(rules)
     conditions = conditions_table(events.sparkSession, rules)
-    n_rows = sum(len(v) if isinstance(v, list) else 1 for r in rules for v in r.when.values())
-    small = F.broadcast if n_rows + len(rules) <= BROADCAST_ROWS else (lambda df: df)
-    equal = small(conditions.filter(F.col("at_least").isNull()).drop("at_least"))
-    floor = small(conditions.filter(F.col("at_least").isNotNull()).drop("token"))
-    rows = context_rows(events, key)
-    met = rows.join(equal, ["key", "token"]).select(key, "rule_id", "n_conditions")
-    if any(k.endswith(AT_LEAST) for r in rules for k in r.when):
-        scored = rows.filter(F.col("number").isNotNull()).drop("token")
-        reached = scored.join(floor, "key").filter(F.col("number") >= F.col("at_least"))
-        met = met.unionByName(reached.select(key, "rule_id", "n_conditions"))
+    conditions = F.broadcast(conditions) if n_rows <= BROADCAST_ROWS else conditions
+    met = context_rows(events, key, rules).join(conditions, ["key", "token"]).filter(
+        F.col("at_least").isNull() | (F.col("number") >= F.col("at_least"))
+    )
     return (
         met.groupBy(key, "rule_id", "n_conditions")
         .agg(F.count("*").alias("met"))

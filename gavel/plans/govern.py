@@ -45,7 +45,7 @@ def govern(
     """
     scored = (scorer or heuristic_scorer())((classifier or keyword_classifier())(events))
     fired = (rules or rule_engine())(with_signals(scored))
-    return with_decision(pin(fired, "action"), decided_at)
+    return with_decision(pin(fired, "action", "rule_ids"), decided_at)
 
 
 def govern_checked(normalized: DataFrame, **ports) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gavel import constants as K
 from gavel.functions.plan import local_table
@@ -19,7 +20,6 @@ SCORE_KEYS = (
     "isolation_forest_score",
     "lstm_score",
 )
-TEXT_KEYS = ("data_plane", "content_class", "access_action", "resource_class", "role", "department")
 AT_LEAST = "_gte"
 
 
@@ -96,23 +96,27 @@ def rules_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     )
 
 
-def _token(value: Any) -> str:
-    """One text per comparable value, so that equality needs one join key."""
+def _is_number(value: Any) -> bool:
+    return isinstance(value, (bool, int, float))
+
+
+def _token(value: Any) -> str | None:
+    """One text per comparable value, so that equality needs one join key. Spark
+    prints the numbers itself, on both sides of the join."""
     if value is None:
         return "null"
-    if isinstance(value, (bool, int, float)):
-        return f"number:{float(value)}"
-    return f"text:{value}"
+    return None if _is_number(value) else f"text:{value}"
 
 
 ALWAYS = ("*", "text:*")
+REACHES = ">="  # token of threshold conditions
 
 
 def conditions_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     """Rules as rows: ``rule_id, key, token, at_least, n_conditions``.
 
     A list contributes one row per value, of which an event can match one; a
-    threshold has ``at_least`` and no token; a rule without conditions gets the
+    threshold has its own token and ``at_least``; a rule without conditions gets the
     one condition every event meets.
     """
     rows: list[tuple] = []
@@ -120,10 +124,14 @@ def conditions_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
         n = len(rule.when) or 1
         for key, expected in (rule.when or {ALWAYS[0]: "*"}).items():
             if key.endswith(AT_LEAST):
-                rows.append((rule.id, key.removesuffix(AT_LEAST), None, float(expected), n))
+                rows.append((rule.id, key.removesuffix(AT_LEAST), REACHES, None, float(expected), n))
                 continue
             values = expected if isinstance(expected, list) else [expected]
-            rows += [(rule.id, key, token, None, n) for token in dict.fromkeys(map(_token, values))]
-    return local_table(
-        spark, rows, "rule_id string, key string, token string, at_least double, n_conditions bigint"
+            pairs = dict.fromkeys((_token(v), float(v) if _is_number(v) else None) for v in values)
+            rows += [(rule.id, key, token, number, None, n) for token, number in pairs]
+    table = local_table(
+        spark, rows,
+        "rule_id string, key string, token string, number double, at_least double, n_conditions bigint",
     )
+    printed = F.concat(F.lit("number:"), F.col("number").cast("string"))
+    return table.withColumn("token", F.coalesce("token", printed)).drop("number")

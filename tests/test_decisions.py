@@ -200,7 +200,10 @@ def test_rule_condition_kinds(spark):
     assert [r["explanation"] for r in rows] == ["number list always", "always", "list always"]
 
 
-@pytest.mark.parametrize("rule_set", [shipped_rules(), ODD_RULES, []])
+SMALL = parse_rules([{"id": "TINY", "action": "flag", "when": {"lstm_score": [0.05, 0.0001]}}])
+
+
+@pytest.mark.parametrize("rule_set", [shipped_rules(), ODD_RULES, SMALL, []])
 def test_rules_as_rows_equal_compiled_rules(spark, rule_set):
     records = [g[0] | {"event_id": f"1cba5a7c-7fe3-4f3b-b2d0-84487677a7{i:02d}"} for i, g in enumerate(GOLDEN)]
     records += [{"document_id": f"d{i}", "text": d[0]} for i, d in enumerate(DOCUMENTS)]
