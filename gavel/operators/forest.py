@@ -15,13 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gavel import constants as K
 from gavel.functions.features import CODES, vector_of_code
 from gavel.functions.scores import min_max
+from gavel.session import cut_lineage
 
 NODE = T.StructType(
     [
@@ -212,17 +213,14 @@ def score_lookup(spark: SparkSession, nodes: DataFrame) -> DataFrame:
 def fit_forest(df: DataFrame, **options) -> ForestModel:
     """Fit on the rows of ``df`` (``code``, ``event_id``).
 
-    Trees and lookup are bounded (trees x 511 and ``CODES`` rows); they are
-    fetched once and kept as local tables, so later plans never regrow a tree.
+    Trees and lookup are bounded (trees x 511 and ``CODES`` rows) and written to
+    the checkpoint folder, so later plans never regrow a tree. Save the model to
+    keep it longer than that folder.
     """
     spark = df.sparkSession
     code = options.get("code", "code")
-    nodes = spark.createDataFrame(fit_trees(df, **options).toPandas(), NODE)
-    lookup = spark.createDataFrame(score_lookup(spark, nodes).toPandas(), "code int, raw double")
+    nodes = cut_lineage(fit_trees(df, **options))
+    lookup = cut_lineage(score_lookup(spark, nodes))
     seen = df.select(F.col(code).alias("code")).distinct()
     low, high = seen.join(F.broadcast(lookup), "code").agg(F.min("raw"), F.max("raw")).first()
     return ForestModel(nodes, low, high, lookup)
-
-
-def normalised(raw: Column, model: ForestModel) -> Column:
-    return min_max(raw, model.low, model.high)
