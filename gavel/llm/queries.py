@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gavel.llm.common import read_documents
+from gavel.llm.decontaminate import decontaminate
+from gavel.llm.packing import pack
 from gavel.llm.quality_rules import quality_rules
+from gavel.llm.token_store import store_round_trip
+from gavel.llm.word_tokens import default_vocabulary
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_documents(spark, sf_dir), default_vocabulary())
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_round_trip(read_documents(spark, sf_dir), default_vocabulary())
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_token_store": op6_token_store,
+    "op7_decontamination": op7_decontamination,
     "op4_quality_rules": op4_quality_rules,
 }
