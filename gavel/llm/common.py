@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,36 @@ def with_global_index(df: DataFrame, order: list[str], name: str = "row_index")
         .withColumn(name, F.col("_start") + local)
         .drop("_mid", "_part", "_start")
     )
+
+
+def with_running_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Add running totals (this row included) of long columns in the given order.
+
+    ``sums`` maps a new column to the column it adds up. As in
+    :func:`with_global_index`, only one total per range goes through the driver.
+    """
+    fields = [f"{name} {kind}" for name, kind in df.dtypes] + [f"{name} long" for name in sums] + ["_part long"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, carried = TaskContext.get().partitionId(), dict.fromkeys(sums, 0)
+        for batch in batches:
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            for name, source in sums.items():
+                total = np.cumsum(batch.column(source).to_numpy(zero_copy_only=False)) + carried[name]
+                carried[name] = int(total[-1]) if len(total) else carried[name]
+                columns[name] = pa.array(total, pa.int64())
+            columns["_part"] = pa.array([part] * batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    local = cut_lineage(ranged.mapInArrow(run, ", ".join(fields)))
+    ends = local.groupBy("_part").agg(*[F.max(name).alias(name) for name in sums]).collect()
+    rows, before = [], dict.fromkeys(sums, 0)
+    for end in sorted(ends, key=lambda r: r["_part"]):
+        rows.append((end["_part"], *before.values()))
+        before = {name: before[name] + end[name] for name in sums}
+    table = df.sparkSession.createDataFrame(rows, ", ".join(["_part long", *(f"_{name} long" for name in sums)]))
+    shifted = local.join(F.broadcast(table), "_part")  # one row per range
+    return shifted.withColumns({name: F.col(name) + F.col(f"_{name}") for name in sums}).drop(
+        "_part", *(f"_{name}" for name in sums)
+    )

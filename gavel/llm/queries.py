@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gavel.llm.common import read_documents
 from gavel.llm.decontaminate import decontaminate
+from gavel.llm.importance import resample
 from gavel.llm.packing import pack
 from gavel.llm.quality_rules import quality_rules
+from gavel.llm.shards import shard_documents
 from gavel.llm.token_store import store_round_trip
 from gavel.llm.word_tokens import default_vocabulary
 
@@ -20,6 +22,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_documents(spark, sf_dir), default_vocabulary())
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_round_trip(read_documents(spark, sf_dir), default_vocabulary())
 
@@ -28,9 +34,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_importance_resampling": op5_importance_resampling,
     "op6_token_store": op6_token_store,
     "op7_decontamination": op7_decontamination,
-    "op4_quality_rules": op4_quality_rules,
+    "op8_sharding": op8_sharding,
 }
