@@ -11,6 +11,7 @@ from gavel.llm.packing import pack
 from gavel.llm.quality_rules import quality_rules
 from gavel.llm.shards import shard_documents
 from gavel.llm.token_store import store_round_trip
+from gavel.llm.toxicity import toxicity
 from gavel.llm.word_tokens import default_vocabulary
 
 
@@ -18,6 +19,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_documents(spark, sf_dir), default_vocabulary())
 
@@ -39,6 +44,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_importance_resampling": op5_importance_resampling,
