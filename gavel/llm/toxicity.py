@@ -42,6 +42,8 @@ TRAINING_ROWS = 3000
 LANDMARKS = 64
 COMMON_LANDMARKS = 8
 CANDIDATES = 600
+# Standard errors by which a unit has to stand out; chance among a million units stays below.
+CLEARLY = 5.0
 # Landmarks that mark a class are at most this alike.
 APART = 0.6
 # The kernel is raised to this power (a kernel again): it tells near from far better.
@@ -263,14 +265,15 @@ def choose_landmarks(rows: DataFrame) -> list[str]:
     n = {r["toxic"]: r["count"] for r in seen}
     if set(n) != {0, 1}:
         return []
-    lift = (F.col("bad") / n[1] - F.col("good") / n[0]) / F.sqrt(
-        (F.col("bad") + F.col("good") + 1) / (n[0] + n[1])
-    )
-    marked = counts.where("bad >= 3").select("unit", lift.alias("lift")).orderBy(F.desc("lift"), "unit").limit(CANDIDATES).collect()
+    # how many standard errors the unit's shares of toxic and clean texts are apart
+    both = (F.col("bad") + F.col("good")) / (n[0] + n[1])
+    lift = (F.col("bad") / n[1] - F.col("good") / n[0]) / F.sqrt(both * (1 / n[0] + 1 / n[1]))
+    lifted = counts.select("unit", lift.alias("lift")).where(F.col("lift") >= CLEARLY)
+    marked = lifted.orderBy(F.desc("lift"), "unit").limit(CANDIDATES).collect()
     common = counts.select("unit", (F.col("bad") + F.col("good")).alias("n")).orderBy(F.desc("n"), "unit")
     landmarks: list[str] = []
     wanted = LANDMARKS - COMMON_LANDMARKS
-    names = [r["unit"] for r in marked if r["lift"] > 0]
+    names = [r["unit"] for r in marked]
     if names:
         alike = likeness(names, names)
         chosen: list[int] = []
