@@ -10,6 +10,7 @@ from gavel.llm.importance import resample
 from gavel.llm.packing import pack
 from gavel.llm.quality_rules import quality_rules
 from gavel.llm.shards import shard_documents
+from gavel.llm.suffix_dedup import remove_repeats
 from gavel.llm.token_store import store_round_trip
 from gavel.llm.toxicity import toxicity
 from gavel.llm.word_tokens import default_vocabulary
@@ -43,6 +44,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -51,4 +56,5 @@ QUERIES = {
     "op6_token_store": op6_token_store,
     "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
