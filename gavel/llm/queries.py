@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gavel.llm.common import read_documents
 from gavel.llm.decontaminate import decontaminate
 from gavel.llm.importance import resample
+from gavel.llm.jaccard_join import near_duplicates
 from gavel.llm.packing import pack
 from gavel.llm.quality_rules import quality_rules
 from gavel.llm.shards import shard_documents
@@ -44,6 +45,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_documents(spark, sf_dir))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_documents(spark, sf_dir)).drop("text_key")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_documents(spark, sf_dir))
 
@@ -56,5 +61,6 @@ QUERIES = {
     "op6_token_store": op6_token_store,
     "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
