@@ -24,9 +24,12 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -91,23 +94,85 @@ def windows_of(unit: str) -> list[str]:
     return [unit[at : at + SPAN] for at in range(0, len(unit) - SPAN // 2, SPAN // 2)]
 
 
+class LandmarkKernel:
+    """Normalised kernel of units with fixed landmarks.
+
+    The kernel is the product of weights over common subsequences, so the landmarks'
+    weights are laid out by subsequence once; a unit then adds up the rows of the
+    subsequences it has. Its own norm is only worked out if a value could reach ``least``.
+    """
+
+    def __init__(self, landmarks: list[str]):
+        letters = sorted({c for s in landmarks for c in s})
+        self.base = len(letters) + 1  # 0 stands for every other character
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[[ord(c) for c in letters]] = np.arange(1, self.base)
+        rows: dict[int, np.ndarray] = {}
+        for at, s in enumerate(landmarks):
+            for key, weight in zip(*self._subsequences(self._codes([s]))[:2], strict=True):
+                for k, w in zip(key.tolist(), weight.tolist(), strict=True):
+                    rows.setdefault(k, np.zeros(len(landmarks)))[at] += w
+        self.row = np.zeros(self.base**SUBSEQUENCE, np.int32)
+        self.row[list(rows)] = np.arange(1, len(rows) + 1)
+        self.weights = np.array([np.zeros(len(landmarks)), *rows.values()])
+        self.norms = np.sqrt((self.weights**2).sum(axis=0))
+        self.width = len(landmarks)
+
+    def _codes(self, strings: list[str]) -> np.ndarray:
+        flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4")
+        return self.code[flat].reshape(len(strings), -1)
+
+    def _subsequences(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and weights of all places of subsequences; a key of 0 is none of the landmarks'."""
+        places = np.array(list(combinations(range(codes.shape[1]), SUBSEQUENCE)))
+        key = np.zeros((len(codes), len(places)), np.int64)
+        known = np.ones_like(key, bool)
+        for k in range(SUBSEQUENCE):
+            part = codes[:, places[:, k]]
+            key, known = key * self.base + part, known & (part > 0)
+        weight = np.broadcast_to(DECAY ** (places[:, -1] - places[:, 0] + 1.0), key.shape)
+        return np.where(known, key, 0), weight
+
+    def values(self, units: list[str], least: float = 0.0) -> np.ndarray:
+        """One row per unit; units shorter than a subsequence, and values below ``least``, are 0."""
+        out = np.zeros((len(units), self.width))
+        by_length: dict[int, list[tuple[int, str]]] = {}
+        for at, unit in enumerate(units):
+            for part in windows_of(unit):
+                if len(part) >= SUBSEQUENCE:
+                    by_length.setdefault(len(part), []).append((at, part))
+        for length, parts in by_length.items():
+            step = max(1, 1_000_000 // math.comb(length, SUBSEQUENCE))
+            for first in range(0, len(parts), step):
+                some = parts[first : first + step]
+                keys, weight = self._subsequences(self._codes([part for _, part in some]))
+                rows = self.row[keys]
+                unit, place = np.nonzero(rows)
+                if not len(unit):
+                    continue
+                starts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+                found = unit[starts]
+                sums = np.add.reduceat(self.weights[rows[unit, place]] * weight[unit, place][:, None], starts)
+                sums /= self.norms
+                # places of a unit are at least its squared norm; equal subsequences add to it
+                reach = (sums / np.sqrt((weight[0] ** 2).sum())).max(axis=1) >= least
+                if not reach.any():
+                    continue
+                found, sums = found[reach], sums[reach]
+                sums /= np.sqrt(_self_kernel(as_codes([some[i][1] for i in found])))[:, None]
+                np.maximum.at(out, [some[i][0] for i in found], sums)
+        out[out < least] = 0
+        return out
+
+
+@lru_cache(maxsize=2)
+def likenesses(landmarks: tuple[str, ...]) -> Likenesses:
+    """The worker's own memory of units for these landmarks."""
+    return Likenesses(list(landmarks))
+
+
 def likeness(units: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel of units and landmarks; 0 for units shorter than a subsequence."""
-    out = np.zeros((len(units), len(landmarks)))
-    right = as_codes(landmarks)[None]
-    own = np.sqrt(np.array([_self_kernel(as_codes([s]))[0] for s in landmarks]))
-    by_length: dict[int, list[tuple[int, str]]] = {}
-    for at, unit in enumerate(units):
-        for part in windows_of(unit):
-            if len(part) >= SUBSEQUENCE:
-                by_length.setdefault(len(part), []).append((at, part))
-    for parts in by_length.values():
-        for first in range(0, len(parts), 2000):
-            some = parts[first : first + 2000]
-            left = as_codes([part for _, part in some])
-            values = subsequence_kernel(left, right) / (np.sqrt(_self_kernel(left))[:, None] * own[None])
-            np.maximum.at(out, [at for at, _ in some], values)
-    return out
+    return LandmarkKernel(landmarks).values(units)
 
 
 def _self_kernel(codes: np.ndarray) -> np.ndarray:
@@ -135,12 +200,12 @@ class Likenesses:
     """Remembers the landmark vector of units; most units are like no landmark."""
 
     def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
+        self.kernel = LandmarkKernel(landmarks)
         self._reset()
 
     def _reset(self) -> None:
         self.place: dict[str, int] = {}
-        self.vectors = [np.zeros(len(self.landmarks))]
+        self.vectors = [np.zeros(self.kernel.width)]
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.place]
@@ -149,8 +214,7 @@ class Likenesses:
             new = list(words)
         if not new:
             return
-        values = likeness([clean_unit(w) for w in new], self.landmarks)
-        values = np.where(values < LEAST, 0, values) ** POWER
+        values = self.kernel.values([clean_unit(w) for w in new], LEAST) ** POWER
         for word, vector in zip(new, values, strict=True):
             if vector.any():
                 self.place[word] = len(self.vectors)
@@ -304,7 +368,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine | None:
         """(toxic, one vector) per training text; ``pick`` makes it of the sentences' rows."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Likenesses(landmarks)
+            known = likenesses(tuple(landmarks))
             for batch in batches:
                 found = [pick(r).tolist() for r in known.documents(batch.column(0).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
@@ -338,7 +402,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
-        known = Likenesses(machine.landmarks)
+        known = likenesses(tuple(machine.landmarks))
         for batch in batches:
             scores = [
                 machine.score(float(machine.margins(r).max())) for r in known.documents(batch.column(2).to_pylist())
