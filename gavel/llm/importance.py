@@ -35,6 +35,8 @@ from gavel.session import cut_lineage
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
 SEED = 20_261_201
+# Good labelled rows that the target model is fitted to, at most (smallest hashes of ids).
+TARGET_ROWS = 20_000
 
 _UNIT = re.compile(rb"[0-9a-z\x80-\xff]+|[^\x00-\x20\x7f0-9a-z\x80-\xff]+")
 
@@ -85,11 +87,14 @@ def importance_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
-        .where("quality = 1")
+        .where("quality = 1 AND doc_id IS NOT NULL")
         .select("doc_id")
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(TARGET_ROWS)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    weights = spark.sparkContext.broadcast(log_ratio(gram_counts(rows.join(good, "doc_id", "left_semi")), gram_counts(rows)))
+    target = rows.join(F.broadcast(good), "doc_id", "left_semi")  # at most TARGET_ROWS ids
+    weights = spark.sparkContext.broadcast(log_ratio(gram_counts(target), gram_counts(rows)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
