@@ -8,6 +8,7 @@ from gavel.llm.common import read_documents
 from gavel.llm.decontaminate import decontaminate
 from gavel.llm.importance import resample
 from gavel.llm.jaccard_join import near_duplicates
+from gavel.llm.line_dedup import line_report
 from gavel.llm.packing import pack
 from gavel.llm.quality_rules import quality_rules
 from gavel.llm.shards import shard_documents
@@ -25,6 +26,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(read_documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_documents(spark, sf_dir), default_vocabulary())
 
@@ -55,6 +60,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_importance_resampling": op5_importance_resampling,
