@@ -1,8 +1,8 @@
 """Removal of long repeated strings, found with suffix arrays.
 
 A byte is removed if it lies in a string of ``LENGTH`` bytes that starts anywhere else
-too. Equal strings hold the same least 16-gram (by a hash; the leftmost of equals) at
-the same place, so it suffices to compare strings that share this *anchor*:
+too. Equal strings hold the same least ``GRAM``-gram (by a hash; the leftmost of equals)
+at the same place, so it suffices to compare strings that share this *anchor*:
 
 1. Every text is cut into stretches: the bytes of consecutive strings with the same
    anchor. An anchor that occurs once settles its strings as unique.
@@ -40,7 +40,7 @@ from gavel.llm.common import small_batches
 from gavel.session import checkpoint_dir
 
 LENGTH = 200
-GRAM = 16
+GRAM = 40  # long enough that different strings seldom share one; a multiple of 8
 PLACES = LENGTH - GRAM + 1  # where in a string its anchor can be
 # Long texts are scanned in pieces of so many string starts (positions take 20 bits).
 PIECE = 1 << 19
@@ -56,10 +56,11 @@ _FRAGMENT = "anchor long, part long, doc_key long, text_key long, start long, co
 def least_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every string start: position of its anchor; and the hash of every gram."""
     words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,)).copy()
-    h = words[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ (words[8:] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(
-        0xC2B2AE3D27D4EB4F
-    )
-    h ^= h >> np.uint64(32)
+    size = len(data) - GRAM + 1
+    h = np.zeros(size, np.uint64)
+    for k in range(0, GRAM, 8):
+        h = (h ^ words[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     key = (h & ~np.uint64((1 << 20) - 1)) | np.arange(len(h), dtype=np.uint64)
