@@ -285,7 +285,8 @@ def similar_sets(docs: DataFrame, described: DataFrame, counts: np.ndarray) -> D
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, and the row's ``text_key``."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id, and the row's ``text_key`` and
+    its component's ``root`` (a key of one of its shingle sets)."""
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -310,7 +311,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "set_key", "least", F.coalesce("root", "set_key").alias("root")
     )
     components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = rooted.join(components, "root").select("set_key", "component_id")
+    of_set = rooted.join(components, "root").select("set_key", "component_id", "root")
     return (
         described.join(of_set, "set_key", "left")
         .select(
@@ -318,5 +319,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.col("n").alias("n_shingles"),
             F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
             "text_key",
+            "root",
         )
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are first in their component, with all their columns.
+
+    The first is the row of the least id (null last); of rows that repeat an id the one
+    with the least text hash, and of equal rows one. Rows without shingles all stay.
+    """
+    found = near_duplicates(docs).select(
+        F.coalesce("doc_id", F.lit(FIRST)).alias("doc_key"), "text_key", "n_shingles", "root", "doc_id"
+    )
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_key", "text_key")).alias("least")
+    winners = found.where("n_shingles > 0").groupBy("root").agg(least).select("least.doc_key", "least.text_key")
+    stay = winners.withColumn("once", F.lit(True)).union(
+        found.where("n_shingles = 0").select("doc_key", "text_key").distinct().withColumn("once", F.lit(False))
+    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_key"),
+        F.xxhash64(text).alias("text_key"),
+    )
+    equal = Window.partitionBy("doc_key", "text_key").orderBy("doc_key")
+    numbered = packed.join(stay, ["doc_key", "text_key"]).withColumn("number", F.row_number().over(equal))
+    return numbered.where("number = 1 OR NOT once").select("_row.*")

@@ -51,7 +51,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_documents(spark, sf_dir)).drop("text_key")
+    return near_duplicates(read_documents(spark, sf_dir)).drop("text_key", "root")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
