@@ -201,8 +201,12 @@ def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield product()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of set keys that are similar: their rows multiplied in blocks."""
+def confirmed(pairs: DataFrame, docs: DataFrame, places: DataFrame, *, many: bool) -> DataFrame:
+    """The ``pairs`` (a, b) of set keys that are similar: their rows multiplied in blocks.
+
+    With ``many`` pairs, which grow with the documents, texts are joined by a sorted merge at
+    every size; else the planner may send the few it needs to the texts.
+    """
     spark = docs.sparkSession
     number = pairs.groupBy("a").agg(F.count("*").alias("number"))
     salted = pairs.join(number, "a").select(
@@ -220,6 +224,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame
     path = f"{checkpoint_dir(spark)}/needs-{uuid4()}"
     needs.write.parquet(path)
     needed = spark.read.schema(needs.schema).parquet(path)
+    needed = needed.hint("merge") if many else needed
     rows = docs.join(needed, "doc_key").select("text", "set_key", "blocks").mapInArrow(_memberships, _ROW)
     return (
         rows.repartition("a", "salt")
@@ -235,13 +240,14 @@ def similar_sets(docs: DataFrame, described: DataFrame, counts: np.ndarray) -> D
     places = described.groupBy("set_key").agg(F.min("doc_key").alias("doc_key")).where("set_key IS NOT NULL")
     rows = docs.select("text").mapInArrow(_prefixes(spark.sparkContext.broadcast(counts)), _PREFIX)
     salt = F.when(F.col("hot"), F.pmod("set_key", F.lit(HOT_SALTS))).otherwise(0)
-    # a shingle that is not hot is bounded by its bucket's count
-    alike = Window.partitionBy("token", "salt")
+    # a shingle that is not hot is bounded by its bucket's count; the sets that hold it in
+    # order of size show whether any other is of a size that can be similar
+    alike = Window.partitionBy("token", "salt").orderBy("n", "set_key")
     shared = (
         rows.withColumn("salt", salt)
-        .withColumn("low", F.min("set_key").over(alike))
-        .withColumn("high", F.max("set_key").over(alike))
-        .where("hot OR low != high")
+        .withColumn("smaller", F.lag("n").over(alike))
+        .withColumn("larger", F.lead("n").over(alike))
+        .where("hot OR 10 * smaller >= 8 * n OR 10 * n >= 8 * larger")
         .select("token", "set_key", "n", "at")
     )
     path = f"{checkpoint_dir(spark)}/prefixes-{uuid4()}"
@@ -256,7 +262,7 @@ def similar_sets(docs: DataFrame, described: DataFrame, counts: np.ndarray) -> D
         .distinct()
     )
     first = cut_lineage(first)
-    links = cut_lineage(confirmed(first, docs, places))
+    links = cut_lineage(confirmed(first, docs, places, many=True))
     known = connected_components(links)
     # what could still connect two components: one of the pair is not with its shingle's lead
     root = F.coalesce("root", "set_key")
@@ -280,7 +286,7 @@ def similar_sets(docs: DataFrame, described: DataFrame, counts: np.ndarray) -> D
         .distinct()
         .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    more = confirmed(cut_lineage(rest), docs, places)
+    more = confirmed(cut_lineage(rest), docs, places, many=False)
     return connected_components(links.union(more))
 
 
