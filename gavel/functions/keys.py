@@ -11,8 +11,15 @@ UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]
 
 def uuid_text(*parts: Column) -> Column:
     """UUID-shaped text of the MD5 of ``parts``: the same row gets the same id on
-    every retry, which a random id would not."""
-    digest = F.md5(F.concat_ws(FIELD_MARK, *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+    every retry, which a random id would not. Marks inside a part are escaped, so that
+    different parts never read the same."""
+
+    def framed(part: Column) -> Column:
+        text = F.coalesce(part.cast("string"), F.lit(""))
+        escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+        return F.replace(escaped, F.lit(FIELD_MARK), F.lit("\\" + FIELD_MARK))
+
+    digest = F.md5(F.concat_ws(FIELD_MARK, *map(framed, parts)))
     # one reference to the digest, so that plans do not multiply when this is inlined
     return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
 

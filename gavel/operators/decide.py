@@ -56,8 +56,8 @@ def with_signals(scored: DataFrame) -> DataFrame:
 
 
 def decision_id_of() -> Column:
-    """Derived from the whole event: a replayed event repeats its decision id, and
-    events that differ anywhere never share one."""
+    """Derived from the event's fields, ``content.metadata`` apart: a replayed event
+    repeats its decision id, and events that differ in any of them never share one."""
     return uuid_text(
         F.lit("decision"), F.col("event_id"), F.col("source"), F.col("occurred_at"),
         *[F.col(f"access.{n}") for n in K.ACCESS_REQUIRED + K.ACCESS_OPTIONAL],

@@ -57,15 +57,20 @@ def roc_auc(df: DataFrame, score: str, truth: Column, by: Sequence[str] = ()) ->
         df.groupBy(*by, s.alias("s"))
         .agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
         .withColumns({"c1": F.floor(F.col("s") * 1e4), "c2": F.floor(F.col("s") * 1e8)})
-        .withColumn("pairs", F.col("pos") * F.col("neg") / 2)
+        # products of counts outgrow a long: twice the pairs, as whole decimals
+        .withColumns({n: F.col(n).cast("decimal(19,0)") for n in ("pos", "neg")})
+        .withColumn("pairs", (F.col("pos") * F.col("neg")).cast("decimal(38,0)"))
     )
     for cell, order in (([*by, "c1", "c2"], "s"), ([*by, "c1"], "c2"), (by, "c1")):
         before = Window.partitionBy(*cell).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        below = F.coalesce(F.sum("neg").over(before), F.lit(0))
-        counted = level.withColumn("pairs", F.col("pairs") + F.col("pos") * below)
-        level = counted.groupBy(*cell).agg(*[F.sum(c).alias(c) for c in ("pairs", "pos", "neg")])
+        below = F.coalesce(F.sum("neg").over(before), F.lit(0)).cast("decimal(19,0)")
+        counted = level.withColumn("pairs", (F.col("pairs") + 2 * F.col("pos") * below).cast("decimal(38,0)"))
+        level = counted.groupBy(*cell).agg(
+            F.sum("pairs").cast("decimal(38,0)").alias("pairs"),
+            *[F.sum(c).cast("decimal(19,0)").alias(c) for c in ("pos", "neg")],
+        )
     all_pairs = F.nullif(F.col("pos").cast("double") * F.col("neg"), F.lit(0.0))
-    return level.select(*by, (F.col("pairs") / all_pairs).alias("roc_auc"))
+    return level.select(*by, (F.col("pairs").cast("double") / 2 / all_pairs).alias("roc_auc"))
 
 
 def confusion_matrix(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:

@@ -121,11 +121,16 @@ def tree_samples(
     h = F.xxhash64(F.col(row_id), F.lit(seed))
     picked = df.filter(F.pmod(h, F.lit(1_000_000)) < math.ceil(share * 1_000_000))
     first = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed + 1)), F.lit(trees))
+    # every row steps through the trees at its own stride, so that no two trees share more
+    # rows than chance has them share; strides without a common divisor never come back early
+    strides = [s for s in range(1, trees + 1) if math.gcd(s, trees) == 1]
+    turn = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed + 2)), F.lit(len(strides)))
+    stride = F.element_at(F.array(*map(F.lit, strides)), turn.cast("int") + 1)
     return picked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), first.alias("first"),
+        F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), first.alias("first"), stride.alias("stride"),
         F.col(code).alias("code"), F.col(row_id).alias("row_id"),
     ).select(
-        F.pmod(F.col("first") + F.col("copy"), F.lit(trees)).cast("int").alias("tree"), "code", "row_id"
+        F.pmod(F.col("first") + F.col("copy") * F.col("stride"), F.lit(trees)).cast("int").alias("tree"), "code", "row_id"
     )
 
 

@@ -72,14 +72,19 @@ def ledger_rows(accepted: DataFrame, recorded_at: Column | str) -> DataFrame:
     ).select(*S.LEDGER_ROW.fieldNames())
 
 
-def append(batch: DataFrame, path: str, order: Column, recorded_at: str) -> DataFrame:
+def append(
+    batch: DataFrame, path: str, order: Column, recorded_at: str, rejects_path: str | None = None
+) -> DataFrame:
     """Append the accepted decisions of ``batch``; returns the rejected rows.
 
-    Replaying a batch appends nothing, because its ids are stored by then.
+    Replaying a batch appends nothing, because its ids are stored by then. Rejects are
+    written (id and reason) before the append, and left alone by a replay.
     """
     spark = batch.sparkSession
     accepted, rejected = record(batch, open_ledger(spark, path).select("decision_id"), order)
     rows = ledger_rows(accepted, recorded_at)
+    if rejects_path:
+        rejected.select("decision_id", "reason").write.mode("ignore").json(rejects_path)
     # one writer per directory of the batch, not one file per task and directory
     rows.repartition("id_prefix").write.mode("append").partitionBy("id_prefix").parquet(path)
     return rejected

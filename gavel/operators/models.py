@@ -64,7 +64,7 @@ def external_sequence_scores(
     """The same column from a user's own network, loaded once per worker:
     ``make_predict() -> f(batch of (8, 25) float32) -> scores``."""
     predict = predict_batch_udf(
-        make_predict, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=[[K.WINDOW * K.N_FEATURES]]
+        make_predict, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=[[K.WINDOW, K.N_FEATURES]]
     )
     flat = F.flatten(sequence_tensor(F.col("window")))
     return windows.withColumn(name, clip01(predict(flat)))

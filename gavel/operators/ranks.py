@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 BUCKET_ROWS = 1 << 20
 _FAN = 4096
-_MAX_GROUPS = 1000
 
 
 def keep_first(df: DataFrame, key: Column, order: str, *, after: Column | None = None) -> DataFrame:
@@ -32,9 +31,11 @@ def keep_first(df: DataFrame, key: Column, order: str, *, after: Column | None =
 
 
 def with_position(
-    df: DataFrame, order: str, *, after: Column | None = None, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, order: str, *, after: Column | None = None, each: bool = False,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Zero-based ``position`` in the order of (``after``, ``order``).
+    """Zero-based ``position`` in the order of (``after``, ``order``); null is a value of
+    ``after``. With ``each``, positions start anew for every value of ``after``.
 
     Rows are counted per block of ``bucket_rows`` consecutive order values; the
     running total of those counts is a small table, and only rows of one block
@@ -42,27 +43,22 @@ def with_position(
     """
     lead = F.lit(0) if after is None else after
     blocks = df.withColumns({"_lead": lead, "_block": F.floor(F.col(order) / bucket_rows)})
-    so_far = Window.orderBy("_lead", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = Window.partitionBy("_lead").orderBy("_block") if each else Window.orderBy("_lead", "_block")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, -1)
     counts = blocks.groupBy("_lead", "_block").agg(F.count("*").alias("_n"))
     starts = counts.select(
-        "_lead", "_block", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_start")
+        F.col("_lead").alias("_lead_at"), F.col("_block").alias("_block_at"),
+        F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_start"),
     )
+    same = F.col("_lead").eqNullSafe(F.col("_lead_at")) & F.col("_block").eqNullSafe(F.col("_block_at"))
     inside = F.row_number().over(Window.partitionBy("_lead", "_block").orderBy(order))
     return (
-        blocks.join(starts, ["_lead", "_block"])
+        blocks.join(starts, same)
         .withColumn("position", F.col("_start") + inside - 1)
-        .drop("_lead", "_block", "_start")
+        .drop("_lead", "_block", "_lead_at", "_block_at", "_start")
     )
 
 
-def group_sizes(df: DataFrame, group: str) -> dict:
-    """Rows per group; refuses a column with too many values to be a class label."""
-    rows = df.groupBy(group).agg(F.count("*").alias("n")).limit(_MAX_GROUPS + 1).collect()
-    if len(rows) > _MAX_GROUPS:
-        raise ValueError(f"{group} has more than {_MAX_GROUPS} values; expected a class label")
-    return {r[group]: r["n"] for r in rows}
-
-
 def kth_values(df: DataFrame, order: str, ranks: Mapping, group: Column | None = None) -> dict:
     """For every group the order value with ``ranks[group]`` rows before it.
 
@@ -112,20 +108,15 @@ def kth_values(df: DataFrame, order: str, ranks: Mapping, group: Column | None =
 def balance(df: DataFrame, label: str, order: str) -> DataFrame:
     """The first ``min(class size)`` rows of every class, in ``order``.
 
-    Finds one cut per class, then keeps rows by comparison with it: no row is
-    shuffled and no class is ever gathered.
+    Any number of classes of any type. Rows without a label belong to no class and are
+    left out, as the classes are what is balanced.
     """
-    sizes = group_sizes(df.filter(F.col(label).isNotNull()), label)
-    if not sizes:
-        return df.limit(0)
-    floor = min(sizes.values())
-    above = {str(g): floor for g, n in sizes.items() if n > floor}
-    cuts = kth_values(df, order, above, F.col(label)) if above else {}
-    keep = F.lit(False)
-    for g in sizes:
-        mine = F.col(label) == F.lit(g)
-        keep = keep | (mine & (F.col(order) < cuts[str(g)]) if str(g) in cuts else mine)
-    return df.filter(keep)
+    known = df.filter(F.col(label).isNotNull())
+    smallest = known.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
+    if smallest is None:
+        return known
+    placed = with_position(known, order, after=F.col(label), each=True)
+    return placed.filter(F.col("position") < smallest).drop("position")
 
 
 def validation_start(df: DataFrame, order: str, share: float) -> int:

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel import constants as K
-from gavel.session import BROADCAST_ROWS
 from gavel.sources.rules import (
     ALWAYS, AT_LEAST, REACHES, SCORE_KEYS, Rule, by_severity, conditions_table, rules_table,
 )
@@ -129,6 +128,10 @@ def first_match(events: DataFrame) -> DataFrame:
     )
 
 
+# Columns of an event that ``context`` reads.
+_LOOKED_AT = ["data_plane", "signals", "access"]
+
+
 def context_rows(events: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
     """What the rules look at, as rows: ``key`` column, ``key, token, number``.
 
@@ -161,9 +164,7 @@ def matched_pairs(events: DataFrame, rules: list[Rule], key: str) -> DataFrame:
     it has. Counting starts map-side: the rows of one event are produced, joined
     and pre-aggregated in the same task.
     """
-    n_rows = sum(len(v) if isinstance(v, list) else 1 for r in rules for v in r.when.values()) + len(rules)
     conditions = conditions_table(events.sparkSession, rules)
-    conditions = F.broadcast(conditions) if n_rows <= BROADCAST_ROWS else conditions
     met = context_rows(events, key, rules).join(conditions, ["key", "token"]).filter(
         F.col("at_least").isNull() | (F.col("number") >= F.col("at_least"))
     )
@@ -175,27 +176,31 @@ def matched_pairs(events: DataFrame, rules: list[Rule], key: str) -> DataFrame:
     )
 
 
-def fire_from_tables(events: DataFrame, rules: list[Rule], key: str = "event_id") -> DataFrame:
-    """``key, action, rule_ids, explanation`` from rules held as rows.
+def fire_from_tables(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The event columns with ``action, rule_ids, explanation`` from rules held as rows.
 
-    ``key`` must be unique per event. The built-in default takes part as a rule
-    of lowest rank that always matches, so events without a match need no join.
+    Rules see an event's context only, so each distinct context is matched once and the
+    outcome joined back: nothing need be unique in the events, and every one is kept. The
+    built-in default takes part as a rule of lowest rank that always matches.
     """
     default = Rule(K.DEFAULT_RULE_ID, "allow", explanation=K.DEFAULT_EXPLANATION)
     last = F.lit(len(rules))
     table = rules_table(events.sparkSession, rules).unionByName(
         rules_table(events.sparkSession, [default]).withColumn("rank", last)
     )
-    small = F.broadcast if len(rules) < BROADCAST_ROWS else (lambda df: df)
-    fired = matched_pairs(events, [*rules, default], key).join(small(table), "rule_id")
+    seen = F.struct(*[c.alias(name) for name, c in context().items()])
+    marked = events.withColumn("_context", F.sha2(F.to_json(seen, {"ignoreNullFields": "false"}), 256))
+    distinct = marked.select("_context", *_LOOKED_AT).dropDuplicates(["_context"])
+    fired = matched_pairs(distinct, [*rules, default], "_context").join(table, "rule_id")
     hit = F.struct("rank", "rule_id", "action", "explanation")
-    grouped = fired.groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    grouped = fired.groupBy("_context").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
     real = F.filter("hits", lambda h: h.rank < last)
-    kept = grouped.select(key, F.when(F.size(real) > 0, real).otherwise(F.col("hits")).alias("hits"))
+    kept = grouped.select("_context", F.when(F.size(real) > 0, real).otherwise(F.col("hits")).alias("hits"))
     said = F.array_join(F.filter(F.col("hits.explanation"), lambda e: e != ""), " ")
-    return kept.select(
-        key,
+    outcome = kept.select(
+        "_context",
         F.col("hits.action")[0].alias("action"),
         F.array_distinct("hits.rule_id").alias("rule_ids"),
         F.when(said != "", said).alias("explanation"),
     )
+    return marked.join(outcome, "_context").drop("_context")

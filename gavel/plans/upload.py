@@ -12,7 +12,6 @@ from gavel.operators.contracts import with_errors
 from gavel.operators.decide import decisions_of
 from gavel.operators.normalize import normalize
 from gavel.plans.govern import govern, with_decision_errors
-from gavel.session import broadcast_if_small
 from gavel.sources.decisions import append_json, save_run
 from gavel.sources.records import (
     ColumnFields, JsonFields, infer_plane, read_jsonl, read_text_documents,
@@ -38,7 +37,6 @@ def reject_broken_files(lines: DataFrame, file: str = "source_file") -> tuple[Da
     file, so one huge file stays spread over its splits.
     """
     broken = lines.groupBy(file).agg(F.max("malformed").alias("bad")).filter("bad").select(file)
-    broken = broadcast_if_small(broken)
     return lines.join(broken, file, "left_anti"), broken
 
 

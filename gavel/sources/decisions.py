@@ -11,7 +11,9 @@ from gavel import schemas as S
 
 def _read_or_empty(spark: SparkSession, path: str, schema, kind: str) -> DataFrame:
     try:
-        return spark.read.schema(schema).format(kind).load(path)
+        reader = spark.read.schema(schema).format(kind)
+        # a malformed line is an error, not a decision without fields
+        return (reader.option("mode", "FAILFAST") if kind == "json" else reader).load(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise

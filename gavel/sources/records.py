@@ -14,6 +14,10 @@ from gavel.functions.keys import plane_of_key
 from gavel.functions.text import is_blank, strip
 
 
+# The parser's own limit on one text, 20,000,000 characters, would make longer ones malformed.
+LONGEST = str(2**31 - 1)
+
+
 class JsonFields:
     """Fields of a parsed JSON object (a variant column), as SQL expressions:
     absent, null and wrongly typed stay apart."""
@@ -52,13 +56,18 @@ class ColumnFields:
         return "false"
 
 
+ANY_JSONL = "*.[jJ][sS][oO][nN][lL]"
+
+
 def _with_file(df: DataFrame) -> DataFrame:
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """JSON lines -> ``record`` (variant) and ``malformed``; blank lines vanish."""
-    parsed = lines.filter(~is_blank(F.col(line))).withColumn("record", F.try_parse_json(F.col(line)))
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last one counts
+    record = F.from_json(F.col(line), "variant", {"maxStringLen": LONGEST})
+    parsed = lines.filter(~is_blank(F.col(line))).withColumn("record", record)
     is_object = F.schema_of_variant(F.col("record")).startswith("OBJECT")
     return parsed.withColumn("malformed", ~F.coalesce(is_object, F.lit(False)))
 
@@ -68,13 +77,13 @@ def _jsonl_options(reader, glob: str):
     return reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], glob: str = ANY_JSONL) -> DataFrame:
     """``source_file, value, record, malformed`` for every JSON line under ``path``."""
     return parse_lines(_with_file(_jsonl_options(spark.read, glob).text(path)))
 
 
 def stream_jsonl(
-    spark: SparkSession, path: str, glob: str = "*.jsonl", max_files: int = 1000
+    spark: SparkSession, path: str, glob: str = ANY_JSONL, max_files: int = 1000
 ) -> DataFrame:
     """The same rows as files arrive; ``max_files`` per micro-batch bounds a backlog."""
     reader: DataStreamReader = _jsonl_options(spark.readStream, glob)
@@ -84,6 +93,7 @@ def stream_jsonl(
 def read_typed_jsonl(spark: SparkSession, path: str, schema, fail_fast: bool = False) -> DataFrame:
     """JSONL of a known shape straight into columns (training tables, decisions)."""
     reader = spark.read.schema(schema).option("mode", "FAILFAST" if fail_fast else "PERMISSIVE")
+    reader = reader.option("maxStringLen", LONGEST)
     return reader.json(path)
 
 

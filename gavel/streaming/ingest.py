@@ -75,7 +75,8 @@ def govern_batch(
     if dead is not None:
         put(dead, "dead")
     if ledger:
-        ledger_append(decisions_of(staged, "seq"), ledger, F.col("seq"), ingested_at)
+        rejects = f"{out}/rejects/{folder}"
+        ledger_append(decisions_of(staged, "seq"), ledger, F.col("seq"), ingested_at, rejects)
 
 
 def start_ingest(
