@@ -38,7 +38,9 @@ HEADLINE = [
     "leakage_removed",
     "balanced_classes",
     "record_ids",
-    "access_training_table",
+    "forest_scores",
+    "sequence_model_scores",
+    "text_model_classes",
 ]
 RUNS = 3
 

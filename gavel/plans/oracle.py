@@ -270,85 +270,6 @@ rep AS (
   FROM prf GROUP BY model)"""
 
 
-def pick(n: str, tag: str, row: str = "row") -> str:
-    """Uniform integer in [0, n) from the row number, the seed and a tag."""
-    return f"(CAST('0x' || substr(md5({row} || ':740:{tag}'), 1, 8) AS BIGINT) % {n})"
-
-
-def of(values, tag: str) -> str:
-    return f"{items(values)}[{pick(str(len(values)), tag)} + 1]"
-
-
-ACCESS_TABLE = f"""
-drawn AS (
-  SELECT row, {pick('6', 'department')} AS dept, {pick('8', 'user')} + 1 AS usr,
-    {pick('10000', 'anomaly')} < 800 AS is_anomaly,
-    {of(['priv_action', 'bulk_sensitive', 'off_hours_sensitive', 'cross_dept_normal', 'unknown_device'], 'scenario')} AS scenario,
-    {pick('10000', 'same')} < 8800 AS same, {pick('6', 'any department')} AS any_dept,
-    {pick('5', 'other department')} + 1 AS shift, {of(['PII', 'financial', 'policy', 'internal', 'public'], 'class')} AS any_class,
-    {of(['PII', 'financial'], 'sensitive')} AS sens, {pick('5', 'slot')} AS slot,
-    {of(['read', 'search', 'download', 'update'], 'action')} AS normal_action,
-    {of(['privilege_change', 'delete'], 'overt')} AS overt, {of(['read', 'download', 'search'], 'quiet')} AS quiet,
-    {of(['read', 'download'], 'crossing')} AS crossing, {of(['01', '02', '03', '23'], 'night')} AS night,
-    {pick('4', 'step')} + 1 AS step,
-    '10.' || ({pick('12', 'ip1')} + 1) || '.' || {pick('256', 'ip2')} || '.' || ({pick('254', 'ip3')} + 1) AS office_ip,
-    '198.51.100.' || ({pick('254', 'ip4')} + 1) AS outside_ip,
-    'unmanaged-' || ({pick('9000', 'device')} + 1000) AS stray
-  FROM (SELECT event_id AS row FROM events)),
-plan AS (
-  SELECT *, CASE WHEN is_anomaly THEN scenario END AS why,
-    lpad(CAST(dept + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(usr AS VARCHAR), 3, '0') AS member,
-    strftime(TIMESTAMP '2026-01-05 08:00:00' + to_minutes(CAST(row * step AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS moment
-  FROM drawn),
-made_rows AS (
-  SELECT row, is_anomaly, why AS anomaly_reason, member,
-    CASE WHEN why = 'off_hours_sensitive' THEN substr(moment, 1, 11) || night || substr(moment, 14) ELSE moment END AS occurred_at,
-    CASE WHEN usr <= 2 THEN 'manager' ELSE 'analyst' END AS role, {DEPTS}[dept + 1] AS department,
-    CASE WHEN why IN ('priv_action', 'bulk_sensitive', 'off_hours_sensitive') THEN any_dept
-         WHEN why = 'cross_dept_normal' THEN (dept + shift) % 6 WHEN same THEN dept ELSE any_dept END AS target,
-    CASE WHEN why IN ('bulk_sensitive', 'off_hours_sensitive') THEN sens ELSE any_class END AS resource_class, slot,
-    CASE why WHEN 'priv_action' THEN overt WHEN 'bulk_sensitive' THEN 'bulk_download' WHEN 'off_hours_sensitive' THEN quiet
-             WHEN 'cross_dept_normal' THEN crossing ELSE normal_action END AS action,
-    CASE WHEN why = 'unknown_device' THEN outside_ip ELSE office_ip END AS source_ip,
-    CASE WHEN why = 'unknown_device' THEN stray ELSE 'managed-' || member END AS device_id
-  FROM plan)"""
-
-
-def _documents_sql() -> str:
-    """Sentence templates are data of the query; the composition is repeated in SQL."""
-    from gavel import constants as K
-
-    def quoted(values) -> str:
-        return "[" + ",".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-    templates = "[" + ",".join(quoted(K.DOCUMENT_TEMPLATES[c]) for c in K.CLASSES) + "]"
-
-    def sentence(cls: str, tag: str) -> str:
-        text = f"{templates}[{cls} + 1][{pick('5', tag + ' template')} + 1]"
-        for slot, values in K.DOCUMENT_SLOTS.items():
-            text = f"replace({text}, '{{{slot}}}', {quoted(values)}[{pick(str(len(values)), f'{tag} {slot}')} + 1])"
-        return text
-
-    def entry(text: str, tag: str) -> str:
-        return f"{{'place': {pick('1073741824', tag + ' place')}, 'text': {text}}}"
-
-    own, other = "row % 5", f"((row % 5 + {pick('4', 'other class')} + 1) % 5)"
-    count = f"({pick('3', 'sentences')} + 2)"
-    pieces = [
-        entry(sentence(own, "s1"), "s1"),
-        entry(sentence(own, "s2"), "s2"),
-        f"CASE WHEN {count} >= 3 THEN {entry(sentence(own, 's3'), 's3')} END",
-        f"CASE WHEN {count} >= 4 THEN {entry(sentence(own, 's4'), 's4')} END",
-        f"CASE WHEN {pick('10000', 'hard')} < 3500 THEN {entry(sentence(other, 's5'), 's5')} END",
-        f"CASE WHEN {pick('10000', 'generic')} < 4500 THEN {entry(quoted(K.GENERIC_SENTENCES) + '[' + pick('4', 'generic text') + ' + 1]', 's6')} END",
-    ]
-    return f"""
-  SELECT 'doc-740-' || CASE WHEN row < 100000 THEN lpad(CAST(row AS VARCHAR), 5, '0') ELSE CAST(row AS VARCHAR) END AS document_id,
-    array_to_string([x.text for x in list_sort([{', '.join(pieces)}]) if x IS NOT NULL], ' ') AS text,
-    {CLASSES}[row % 5 + 1] AS label
-  FROM (SELECT doc_id AS row FROM documents)"""
-
-
 def oracle() -> dict[str, str]:
     access_cols = "event_id, user_id, role, department, resource_id, resource_class, action, source_ip, device_id, session_id"
     return {
@@ -514,12 +435,4 @@ def oracle() -> dict[str, str]:
             SELECT doc_id, lang FROM r WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang))""",
         "record_ids": """SELECT doc_id, 'llm-740-' || lpad(CAST(row_number() OVER (ORDER BY lang, doc_id) - 1 AS VARCHAR), 6, '0') AS document_id
             FROM documents""",
-        "access_training_table": f"""WITH {ACCESS_TABLE} SELECT
-              {uuid_of("concat_ws('|', 'access', '740', CAST(row AS VARCHAR))")} AS event_id, 'access' AS event_type, occurred_at,
-              'u-' || member AS user_id, role, department,
-              {DEPTS}[target + 1] || '-' || lower(resource_class) || '-' || lpad(CAST(slot + 1 AS VARCHAR), 3, '0') AS resource_id,
-              resource_class, action, source_ip, device_id,
-              'session-u-' || member || '-' || replace(substr(occurred_at, 1, 10), '-', '') AS session_id, is_anomaly, anomaly_reason
-            FROM made_rows""",
-        "document_training_table": _documents_sql(),
     }

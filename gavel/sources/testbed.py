@@ -96,6 +96,17 @@ def content_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that ``labels`` covers, with a class made of its two marks."""
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    label = F.when(F.col("toxic") == 1, "policy").when(F.col("quality") == 0, "internal").otherwise("public")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(marks, "doc_id")
+    return docs.select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), "text", label.alias("label"),
+        F.col("doc_id").alias("row"),
+    )
+
+
 def access_events(spark: SparkSession, sf_dir: str, keep=()) -> DataFrame:
     """Valid canonical access events."""
     raw = access_records(spark, sf_dir)
