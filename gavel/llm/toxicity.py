@@ -109,13 +109,14 @@ class LandmarkKernel:
         self.code[[ord(c) for c in letters]] = np.arange(1, self.base)
         rows: dict[int, np.ndarray] = {}
         for at, s in enumerate(landmarks):
-            for key, weight in zip(*self._subsequences(self._codes([s]))[:2], strict=True):
-                for k, w in zip(key.tolist(), weight.tolist(), strict=True):
-                    rows.setdefault(k, np.zeros(len(landmarks)))[at] += w
-        self.row = np.zeros(self.base**SUBSEQUENCE, np.int32)
+            keys, weight = self._subsequences(self._codes([s]))
+            for k, w in zip(keys[0].tolist(), weight.tolist(), strict=True):
+                rows.setdefault(k, np.zeros(len(landmarks)))[at] += w
+        self.row = np.zeros(self.base**SUBSEQUENCE, np.int32)  # under 2^31 keys: landmarks have few letters
         self.row[list(rows)] = np.arange(1, len(rows) + 1)
         self.weights = np.array([np.zeros(len(landmarks)), *rows.values()])
-        self.norms = np.sqrt((self.weights**2).sum(axis=0))
+        self.weights /= np.sqrt((self.weights**2).sum(axis=0))
+        self.most = self.weights.max(axis=1)
         self.width = len(landmarks)
 
     def _codes(self, strings: list[str]) -> np.ndarray:
@@ -123,15 +124,13 @@ class LandmarkKernel:
         return self.code[flat].reshape(len(strings), -1)
 
     def _subsequences(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and weights of all places of subsequences; a key of 0 is none of the landmarks'."""
+        """Keys of the subsequences at all places, and the places' weights. A character that no
+        landmark has makes a key that none of them has."""
         places = np.array(list(combinations(range(codes.shape[1]), SUBSEQUENCE)))
-        key = np.zeros((len(codes), len(places)), np.int64)
-        known = np.ones_like(key, bool)
-        for k in range(SUBSEQUENCE):
-            part = codes[:, places[:, k]]
-            key, known = key * self.base + part, known & (part > 0)
-        weight = np.broadcast_to(DECAY ** (places[:, -1] - places[:, 0] + 1.0), key.shape)
-        return np.where(known, key, 0), weight
+        key = codes[:, places[:, 0]]
+        for k in range(1, SUBSEQUENCE):
+            key = key * np.int32(self.base) + codes[:, places[:, k]]
+        return key, DECAY ** (places[:, -1] - places[:, 0] + 1.0)
 
     def values(self, units: list[str], least: float = 0.0) -> np.ndarray:
         """One row per unit; units shorter than a subsequence, and values below ``least``, are 0."""
@@ -147,15 +146,17 @@ class LandmarkKernel:
                 some = parts[first : first + step]
                 keys, weight = self._subsequences(self._codes([part for _, part in some]))
                 rows = self.row[keys]
-                unit, place = np.nonzero(rows)
-                if not len(unit):
+                # a unit's squared norm is at least that of its places (equal subsequences add to
+                # it), and no landmark gets more than the most that each place gives any
+                lowest = least * np.sqrt((weight**2).sum())
+                found = np.flatnonzero((self.most[rows] @ weight >= lowest) & rows.any(axis=1))
+                if not len(found):
                     continue
+                rows = rows[found]
+                unit, place = np.nonzero(rows)
                 starts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-                found = unit[starts]
-                sums = np.add.reduceat(self.weights[rows[unit, place]] * weight[unit, place][:, None], starts)
-                sums /= self.norms
-                # places of a unit are at least its squared norm; equal subsequences add to it
-                reach = (sums / np.sqrt((weight[0] ** 2).sum())).max(axis=1) >= least
+                sums = np.add.reduceat(self.weights[rows[unit, place]] * weight[place][:, None], starts)
+                reach = sums.max(axis=1) >= lowest
                 if not reach.any():
                     continue
                 found, sums = found[reach], sums[reach]
@@ -184,7 +185,7 @@ _NO_MARKS = str.maketrans("", "", MARKS)
 
 def clean_unit(word: str) -> str:
     """The word without marks, also inside ("w.o-rd")."""
-    return word.translate(_NO_MARKS)
+    return word if word.isalnum() else word.translate(_NO_MARKS)
 
 
 def sentences_of(text: str | None) -> list[list[str]]:
@@ -214,13 +215,14 @@ class Likenesses:
             new = list(words)
         if not new:
             return
-        values = self.kernel.values([clean_unit(w) for w in new], LEAST) ** POWER
-        for word, vector in zip(new, values, strict=True):
-            if vector.any():
-                self.place[word] = len(self.vectors)
-                self.vectors.append(vector)
-            else:
-                self.place[word] = 0
+        cleaned = [clean_unit(w) for w in new]
+        units = list(set(cleaned))
+        values = self.kernel.values(units, LEAST) ** POWER
+        place = dict.fromkeys(units, 0)
+        for at in np.flatnonzero(values.any(axis=1)).tolist():
+            place[units[at]] = len(self.vectors)
+            self.vectors.append(values[at])
+        self.place.update((word, place[unit]) for word, unit in zip(new, cleaned, strict=True))
 
     def documents(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Per text: one row per sentence that is like some landmark, and a row of zeros."""
