@@ -100,7 +100,7 @@ def cuts(totals: Totals, capacity: int, shards: int) -> list[int]:
     for shard in range(shards - 1):
         ideal = at + (total - at) // (shards - shard)
         below, above = totals.last_up_to(ideal), totals.first_from(ideal)
-        near = below if ideal - below <= above - ideal else above
+        near = below if below > at and ideal - below <= above - ideal else above  # a group at least
         near = max(near, earliest[shard], at)
         if near > at + capacity:
             near = totals.last_up_to(at + capacity)
