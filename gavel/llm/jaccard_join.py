@@ -247,15 +247,17 @@ def similar_sets(docs: DataFrame, described: DataFrame, counts: np.ndarray) -> D
         rows.withColumn("salt", salt)
         .withColumn("smaller", F.lag("n").over(alike))
         .withColumn("larger", F.lead("n").over(alike))
-        .where("hot OR 10 * smaller >= 8 * n OR 10 * n >= 8 * larger")
+        # a larger set can only be similar if enough is left from this place on
+        .where("hot OR 10 * smaller >= 8 * n OR (10 * n >= 8 * larger AND 9 * (n - at) >= 4 * (n + larger))")
         .select("token", "set_key", "n", "at")
     )
     path = f"{checkpoint_dir(spark)}/prefixes-{uuid4()}"
     shared.write.parquet(path)
     prefixes = spark.read.schema("token long, set_key long, n int, at int").parquet(path)
     lead = prefixes.groupBy("token").agg(F.min(F.struct("at", "set_key", "n")).alias("lead"))
+    # what grows with the documents is joined by sorted merges at every size
     first = (
-        prefixes.join(lead, "token")
+        prefixes.join(lead.hint("merge"), "token")
         .where(F.col("lead.set_key") != F.col("set_key"))
         .where(_can_reach(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
         .select(F.col("lead.set_key").alias("a"), F.col("set_key").alias("b"))
@@ -266,13 +268,13 @@ def similar_sets(docs: DataFrame, described: DataFrame, counts: np.ndarray) -> D
     known = connected_components(links)
     # what could still connect two components: one of the pair is not with its shingle's lead
     root = F.coalesce("root", "set_key")
-    rooted = prefixes.join(known, F.col("set_key") == F.col("node"), "left").select(
+    rooted = prefixes.join(known.hint("merge"), F.col("set_key") == F.col("node"), "left").select(
         "token", "set_key", "n", "at", root.alias("root")
     )
     led = lead.select("token", F.col("lead.set_key").alias("set_key")).join(
-        known, F.col("set_key") == F.col("node"), "left"
+        known.hint("merge"), F.col("set_key") == F.col("node"), "left"
     ).select("token", root.alias("lead_root"))
-    apart = rooted.join(led, "token").where("root != lead_root").select(
+    apart = rooted.join(led.hint("merge"), "token").where("root != lead_root").select(
         "token", *[F.col(c).alias(f"x_{c}") for c in ("set_key", "n", "at", "root")]
     )
     rest = (
