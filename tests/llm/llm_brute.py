@@ -62,6 +62,12 @@ def allowed_edits(n):
     return 2 if n >= 40 else 1 if n >= 20 else 0
 
 
+def could_be(a, b, edits):
+    """An edit adds at most one character that the other string lacks."""
+    x, y = collections.Counter(a), collections.Counter(b)
+    return max((x - y).total(), (y - x).total()) <= edits
+
+
 def line_removals(docs):
     """{doc_id: (numbers of removed lines, how many are near lines)} of (doc_id, text) rows."""
     first, places = {}, []
@@ -75,7 +81,7 @@ def line_removals(docs):
     for line in sorted(first, key=first.get):
         for n in range(len(line) - 2, len(line) + 3):
             edits = allowed_edits(min(n, len(line)))
-            if edits and any(abs(n - len(line)) <= edits and edit_distance(line, o) <= edits for o in by_length[n]):
+            if edits and any(could_be(line, o, edits) and edit_distance(line, o) <= edits for o in by_length[n]):
                 near.add(line)
                 break
         by_length[len(line)].append(line)
