@@ -78,6 +78,27 @@ def test_lines_are_removed_as_defined(spark):
             assert texts[doc] == short
 
 
+def test_edits_grow_with_long_lines(spark):
+    rng = random.Random(4)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnoé") for _ in range(k))
+    rows, near = [], set()
+    for size in (100, 119, 120, 200, 400, 1000):
+        for times, spread in ((size // 20, True), (size // 20, False), (size // 20 + 1, True)):
+            line = [word(1) for _ in range(size)]
+            other = list(line)
+            for k in range(times):  # evenly spread, or one word
+                other[k * size // times + size // times // 2 if spread else size // 2 + k] = "X"
+            rows += [(len(rows), "".join(line)), (len(rows) + 1, "".join(other))]
+            near |= {len(rows) - 1} if times == size // 20 else set()
+        # as many characters more as there are edits
+        line = word(size)
+        more = size // 20
+        rows += [(len(rows), line), (len(rows) + 1, line[: size // 3] + "Y" * more + line[size // 3 :])]
+        near.add(len(rows) - 1)
+    got = line_dedup.line_report(spark.createDataFrame(rows, TEXTS)).collect()
+    assert {r["doc_id"] for r in got if r["n_near"]} == near and len(got) == len(rows)
+
+
 def test_lines_of_odd_rows(spark):
     frame = spark.createDataFrame([*ODD, (7, "twice\nthe line"), (7, "twice\nthe line")], TEXTS)
     got = line_dedup.line_report(frame).collect()
