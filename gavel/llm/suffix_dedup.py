@@ -14,8 +14,9 @@ at the same place, so it suffices to compare strings that share this *anchor*:
    of first bytes in order. Strings whose common prefix with a neighbour in the array
    is ``LENGTH`` or more are repeated.
 
-An anchor with many different stretches is dealt to several blocks by the anchor's
-place in the string, and beyond that by a checksum of each string, so no block grows.
+An anchor with more than ``STRETCHES`` different stretches is not laid side by side: its
+strings are known by a 128-bit digest each, dealt by it, and counted one by one, so neither
+a block nor what a task holds grows with the number of stretches or of equal strings.
 Texts are shuffled once (both joins with them read the same exchange).
 
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` have no such string.
@@ -27,7 +28,6 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -199,21 +199,17 @@ def _cut_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows, held = [], 0
         for doc, key, text, needs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             for need in needs:
-                start, n, place, copies = need["start"], need["n"], need["place"], min(2, need["copies"])
-                parts = min(PLACES, -(-need["n_different"] // STRETCHES))
-                salts = -(-need["n_different"] // STRETCHES) if parts == PLACES else 1
-                # the anchor's place falls by one from string to string
-                slots = [(place - t) * parts // PLACES for t in range(n)]
-                t = 0
-                while t < n:
-                    end = t + 1
-                    while end < n and slots[end] == slots[t]:
-                        end += 1
-                    data = text[start + t : start + end + LENGTH - 1]
-                    part = slots[t] * salts + (zlib.crc32(data) % salts if salts > 1 else 0)
-                    rows.append((need["anchor"], part, doc, key, start + t, copies, data))
+                start, n, copies = need["start"], need["n"], min(2, need["copies"])
+                if need["n_different"] <= STRETCHES:
+                    data = text[start : start + n + LENGTH - 1]
+                    rows.append((need["anchor"], 0, doc, key, start, copies, data))
                     held += len(data)
-                    t = end
+                else:
+                    for at in range(start, start + n):
+                        data = hashlib.blake2b(text[at : at + LENGTH], digest_size=16).digest()
+                        part = -1 - (int.from_bytes(data[:8], "little") >> 1)  # below zero: digests
+                        rows.append((need["anchor"], part, doc, key, at, copies, data))
+                        held += 64
                 if held > 1 << 22:
                     yield emit(rows)
                     rows, held = [], 0
@@ -226,27 +222,50 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: list[tuple[int, int, int, int, bytes]] = []
     size, last = 0, None
 
+    # of digests only the first place of each in this part is kept, and none once it is told
+    spans: list[tuple[int, int, int, int]] = []
+    firsts: dict[bytes, tuple[int, int, int] | None] = {}
+
+    def table(spans: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*spans, strict=True)) if spans else [[], [], [], []]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()) for c in columns], names=["doc_key", "text_key", "start", "stop"]
+        )
+
     def search() -> pa.RecordBatch:
         spans = []
         for (doc, key, start, _, _), flags in zip(
             held, repeated_strings([(data, copies) for *_, copies, data in held]), strict=True
         ):
             spans.extend((doc, key, start + a, start + b + LENGTH - 1) for a, b in _runs(flags))
-        columns = list(zip(*spans, strict=True)) if spans else [[], [], [], []]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in columns], names=["doc_key", "text_key", "start", "stop"]
-        )
+        return table(spans)
 
     for batch in batches:
         for anchor, part, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-            if size >= BLOCK_BYTES and (anchor, part) != last:
-                yield search()
-                held, size = [], 0
-            held.append(tuple(row))
-            size += len(row[-1])
+            if (anchor, part) != last:
+                firsts = {}
+                if size >= BLOCK_BYTES:
+                    yield search()
+                    held, size = [], 0
             last = (anchor, part)
+            if part >= 0:
+                held.append(tuple(row))
+                size += len(row[-1])
+                continue
+            *place, copies, digest = row
+            if digest not in firsts and copies < 2:
+                firsts[digest] = tuple(place)
+                continue
+            for told in filter(None, (firsts.get(digest), place)):
+                spans.append((*told, told[2] + LENGTH))
+            firsts[digest] = None
+            if len(spans) >= 1 << 14:
+                yield table(spans)
+                spans = []
     if held:
         yield search()
+    if spans:
+        yield table(spans)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +326,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         known.where("n_different > 1")
         .where((F.col("copies") == 1) | (F.col("first") == F.struct("doc_key", "text_key", "start")))
         .groupBy("doc_key", "text_key")
-        .agg(F.collect_list(F.struct("anchor", "n_different", "copies", "start", "n", "place")).alias("needs"))
+        .agg(F.collect_list(F.struct("anchor", "n_different", "copies", "start", "n")).alias("needs"))
     )
     fragments = (
         docs.join(needs, ["doc_key", "text_key"])

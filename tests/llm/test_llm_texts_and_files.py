@@ -180,6 +180,45 @@ def test_crowded_anchors_are_cut_into_parts_without_loss():
             assert len(covered[at]) == n_removed >= 260
 
 
+def test_no_part_of_a_crowded_anchor_grows(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STRETCHES", 50)
+    rng = random.Random(8)
+    much = bytes(rng.choice(b"abcdefgh") for _ in range(200_000))
+    at = int(suffix_dedup.least_grams(np.frombuffer(much, np.uint8))[1].argmin())
+    middle = much[at : at + suffix_dedup.GRAM]  # different stretches, one anchor
+    side = lambda n: bytes(rng.choice(b"ijklmnop") for _ in range(n))
+    texts = [side(170) + middle + side(170) for _ in range(400)]
+    texts += [text[: 300 + 10 * (i % 3)] + side(60) for i, text in enumerate(texts[:40])]
+    import pyarrow as pa
+
+    found = [list(suffix_dedup.stretches(t)) for t in texts]
+    counted = collections.Counter(a for stretches in found for a, *_ in stretches)
+    needs = [
+        [dict(anchor=a, n_different=counted[a], copies=1, start=s, n=n, place=p) for a, _, s, n, p in stretches]
+        for stretches in found
+    ]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts, pa.binary()), pa.array(needs)],
+        names=["doc_key", "text_key", "text", "needs"],
+    )
+    fragments = [r for b in suffix_dedup._cut_fragments(iter([batch])) for r in b.to_pylist()]
+    parts = collections.defaultdict(set)
+    for r in fragments:
+        parts[r["anchor"], r["part"]].add(r["bytes"])
+    assert max(counted.values()) > 400 and max(map(len, parts.values())) <= 50
+    fragments.sort(key=lambda r: (r["anchor"], r["part"]))
+    covered = collections.defaultdict(set)
+    for b in suffix_dedup._search_blocks(iter([pa.RecordBatch.from_pylist(fragments)])):
+        for r in b.to_pylist():
+            covered[r["doc_key"]].update(range(r["start"], r["stop"]))
+    removed = [n_removed for _, n_removed, _, _ in B.repeats_removed(texts)]
+    assert [len(covered[at]) for at in range(len(texts))] == removed and sum(removed) > 0
+    # and the whole query, in which the crowded strings are dealt by their digests
+    rows = [(i, t.decode()) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, TEXTS)).collect()}
+    assert [got[i] for i in range(len(texts))] == removed
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(5, 5)]
