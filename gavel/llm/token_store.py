@@ -199,14 +199,15 @@ def document_digests(store: DataFrame) -> DataFrame:
                 *(batch.column(c).to_pylist() for c in ("first_token", "doc_ids", "starts", "payload")), strict=True
             ):
                 block = Block(payload)
-                ids = block.tokens(0, block.n_tokens).astype("<u4").tobytes()
                 ends = [*starts[1:], block.n_tokens]
+                # each document by itself, through the rank directories
+                ids = [block.tokens(s, e).astype("<u4").tobytes() for s, e in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc_ids, pa.int64()),
                         pa.array([first + s for s in starts], pa.int64()),
                         pa.array([e - s for s, e in zip(starts, ends, strict=True)], pa.int64()),
-                        pa.array([zlib.crc32(ids[4 * s : 4 * e]) for s, e in zip(starts, ends, strict=True)], pa.int64()),
+                        pa.array([zlib.crc32(i) for i in ids], pa.int64()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )

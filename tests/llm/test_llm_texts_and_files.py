@@ -14,7 +14,7 @@ from gavel.llm import jaccard_join, line_dedup, shards, suffix_dedup
 from gavel.llm.components import connected_components
 from gavel.llm.decontaminate import clean_documents, decontaminate
 from gavel.llm.packing import pack, plan_packing
-from gavel.llm.token_store import Block, encode_block, store_round_trip
+from gavel.llm.token_store import Block, document_digests, encode_block, store_round_trip
 from gavel.llm.word_tokens import WordIds, default_vocabulary
 
 TEXTS = "doc_id long, text string"
@@ -392,3 +392,20 @@ def test_stages_keep_the_columns(spark, sf):
         for part in (frame, frame.limit(0)):
             assert stage(spark, part, sf).columns == frame.columns
             stage(spark, part, sf).collect()
+
+
+def test_documents_are_read_through_the_rank_directories(spark):
+    rng = random.Random(9)
+    ids = np.array([rng.choice([7, 300, 70_000]) + rng.randrange(9) for _ in range(3000)], "<u4")
+    starts = [0, 1, 900, 2999]
+    payload = encode_block(ids)
+    at = 16 + 8 + len(ids) + (len(ids) + 7) // 8  # the first level's directory
+    wrong = payload[:at] + bytes([payload[at] + 1]) + payload[at + 1 :]
+    schema = "first_token long, doc_ids array<long>, starts array<long>, payload binary"
+    read = {}
+    for name, data in (("right", payload), ("wrong", wrong)):
+        store = spark.createDataFrame([(0, [10, 11, 12, 13], starts, bytearray(data))], schema)
+        read[name] = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in document_digests(store).collect()}
+    ends = [*starts[1:], len(ids)]
+    assert read["right"] == {10 + i: (e - s, B.crc(ids[s:e].tolist())) for i, (s, e) in enumerate(zip(starts, ends, strict=True))}
+    assert read["wrong"] != read["right"]
