@@ -101,8 +101,71 @@ least_of AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_of USING (doc_id)"""
 
+EXACT_COPIES = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW same AS (PARTITION BY t)"""
+
+
+def _floor_mean(total: str, n: str) -> str:
+    return f"CAST(({total} - (({total} % {n}) + {n}) % {n}) // {n} AS BIGINT)"
+
+
+def _lloyd(rounds: int, by: str) -> str:
+    """Assignments ``a0, a1, ...`` of the points ``v`` (rid, {by}i, x) to the centres ``c0``
+    ({by}k, i, x), and the centres moved in between."""
+    using = f"USING ({by}i)"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS (SELECT rid, {by}k, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS d FROM v JOIN c{r} c {using} GROUP BY ALL),
+a{r} AS MATERIALIZED (
+  SELECT rid, {by}k, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY rid{', part' if by else ''} ORDER BY d, k) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT {by}k, i, {_floor_mean('sum(x)', 'count(*)')} AS x FROM a{r} JOIN v USING (rid{', part' if by else ''}) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (
+  SELECT {by}k, i, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING ({by}k, i))""")
+    return ",".join(steps)
+
+
+SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+CLUSTERS = f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND {SOUND}),
+v AS MATERIALIZED (
+  SELECT rid, unnest(range(1, 65)) AS i, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM e),
+s AS (
+  SELECT rid, row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS k FROM e QUALIFY k < 40),
+c0 AS MATERIALIZED (SELECT k, i, x FROM s JOIN v USING (rid)),{_lloyd(5, '')},
+sums AS (SELECT k, sum(d) AS s FROM a5 GROUP BY k),
+marks AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS mark FROM c5 GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sums.s AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(d) FROM a5) AS BIGINT) AS inertia, mark AS centroid_sha256
+FROM a5 JOIN e USING (rid) JOIN sums USING (k) JOIN marks USING (k)"""
+
+CODES = f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, embedding FROM embeddings WHERE {SOUND}),
+size AS (SELECT len(embedding) // 8 AS w FROM e ORDER BY vec_id LIMIT 1),
+v AS MATERIALIZED (
+  SELECT rid, (p - 1) // w AS part, (p - 1) % w AS i, x FROM (
+    SELECT rid, unnest(range(1, len(embedding) + 1)) AS p,
+      CAST(floor(4096 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM e), size),
+s AS (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM e QUALIFY k < 16),
+c0 AS MATERIALIZED (SELECT part, k, i, x FROM s JOIN v USING (rid)),{_lloyd(6, 'part, ')},
+named AS (
+  SELECT rid, string_agg(printf('%02x', k), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, k, i)) FROM c6) AS codebooks_sha256
+FROM named JOIN e USING (rid)"""
+
 ORACLE: dict[str, str] = {
     "op4_quality_rules": QUALITY,
     "op7_decontamination": DECONTAMINATION,
     "op9_ngram_jaccard": JACCARD,
+    "op11_exact_dedup": EXACT_COPIES,
+    "op12_centroid_clustering": CLUSTERS,
+    "op13_vector_codes": CODES,
 }

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gavel.llm.centroid_clustering import cluster_report
 from gavel.llm.common import read_documents
 from gavel.llm.decontaminate import decontaminate
+from gavel.llm.exact_dedup import exact_copies
 from gavel.llm.importance import resample
 from gavel.llm.jaccard_join import near_duplicates
 from gavel.llm.line_dedup import line_report
@@ -15,6 +17,7 @@ from gavel.llm.shards import shard_documents
 from gavel.llm.suffix_dedup import remove_repeats
 from gavel.llm.token_store import store_round_trip
 from gavel.llm.toxicity import toxicity
+from gavel.llm.vector_codes import code_report
 from gavel.llm.word_tokens import default_vocabulary
 
 
@@ -58,6 +61,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_documents(spark, sf_dir))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_copies(read_documents(spark, sf_dir))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -69,4 +84,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_vector_codes": op13_vector_codes,
 }
