@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel.functions.text import is_blank, opening_signature, strip
-from gavel.operators.ranks import balance, keep_first, with_position
+from gavel.operators.ranks import balance, keep_first, with_position, without
+from gavel.session import cut_lineage
 
 
 def drop_empty(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -24,25 +25,33 @@ def dedupe(docs: DataFrame, order: str, text: str = "text", *, label: Column | N
     return kept.withColumn(text, strip(F.col(text)))
 
 
+def signed(docs: DataFrame, order: str, text: str = "text") -> DataFrame:
+    """``order, signature`` of every document that has a text, worked out once."""
+    return cut_lineage(drop_empty(docs, text).select(order, opening_signature(F.col(text)).alias("signature")))
+
+
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Distinct signatures of a document set: the seen-set of another split."""
     return drop_empty(docs, text).select(opening_signature(F.col(text)).alias("signature")).distinct()
 
 
-def remove_seen(docs: DataFrame, seen: DataFrame, text: str = "text") -> DataFrame:
+def remove_seen(
+    docs: DataFrame, seen: DataFrame, order: str, text: str = "text", *, marks: DataFrame | None = None
+) -> DataFrame:
     """Documents whose signature is not in ``seen``.
 
-    A signature repeated in ``docs`` stays spread out: the distinct seen-set is
-    the small side, broadcast by Spark when it fits and otherwise joined with
-    AQE splitting the repeated key of the larger side.
+    Signatures are compared beside ids only (``marks``, if ``signed`` was called before);
+    the ids found are then taken out, see ``ranks.without``. ``seen`` is distinct, so a
+    signature repeated in ``docs`` meets one row, and AQE splits it if it is hot.
     """
-    signed = drop_empty(docs, text).withColumn("signature", opening_signature(F.col(text)))
-    return signed.join(seen, "signature", "left_anti").drop("signature")
+    marks = signed(docs, order, text) if marks is None else marks
+    found = marks.join(seen.select("signature").distinct(), "signature", "left_semi")
+    return without(drop_empty(docs, text), found.select(order), order)
 
 
 def prepare(docs: DataFrame, label: str, order: str, *, seen: DataFrame | None = None, balanced: bool = True) -> DataFrame:
     """Dedupe per set, drop what another split has, then trim classes to equal size."""
-    kept = dedupe(docs if seen is None else remove_seen(docs, seen), order, label=F.col(label))
+    kept = dedupe(docs if seen is None else remove_seen(docs, seen, order), order, label=F.col(label))
     return balance(kept, label, order) if balanced else kept
 
 

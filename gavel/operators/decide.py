@@ -78,6 +78,18 @@ def with_decision(fired: DataFrame, decided_at: Column | str) -> DataFrame:
     )
 
 
+def with_own_decision(events: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Events with the stored decision made of them, as the struct ``decision``.
+
+    An event's decision id is derived from the event, so events that share an ``event_id``
+    but differ are not mixed up, and copies of a stored decision do not multiply rows.
+    Events without a stored decision are left out.
+    """
+    names = [f.name for f in S.DECISION.fields if f.name in decisions.columns]
+    stored = decisions.select("decision_id", F.struct(*names).alias("decision")).dropDuplicates(["decision_id"])
+    return events.withColumn("decision_id", decision_id_of()).join(stored, "decision_id").drop("decision_id")
+
+
 def decisions_of(governed: DataFrame, *keep: str) -> DataFrame:
     """The decision table of a governed event table (ledger still empty), with the
     columns ``keep`` beside it."""
@@ -107,7 +119,7 @@ def with_ledger(
     channel: str = K.LEDGER_CHANNEL,
     chaincode: str = K.LEDGER_CHAINCODE,
 ) -> DataFrame:
-    """Attach ledger coordinates."""
+    """Attach ledger coordinates; see ``recorded_as`` for rows that may have none."""
     where = F.struct(
         F.lit(channel).alias("channel"),
         F.lit(chaincode).alias("chaincode"),
@@ -116,6 +128,12 @@ def with_ledger(
     return decisions.withColumn("ledger", where)
 
 
+def recorded_as(decisions: DataFrame, transaction_id: Column) -> DataFrame:
+    """Ledger coordinates for decisions that have a transaction; others have no ``ledger``."""
+    placed = with_ledger(decisions, transaction_id)
+    return placed.withColumn("ledger", F.when(transaction_id.isNotNull(), F.col("ledger")).cast(S.LEDGER))
+
+
 def from_ledger_rows(rows: DataFrame) -> DataFrame:
     """Stored rows back to decisions: a flat ``ledger_tx_id`` becomes the nested
     coordinates unless they are there already."""

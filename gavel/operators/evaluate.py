@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gavel import constants as K
 from gavel.functions.scores import fuse, ratio, round4
+from gavel.operators.ordered import known_key, running_sums
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -43,34 +44,33 @@ def with_rates(counts: DataFrame) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, score: str, truth: Column, by: Sequence[str] = ()) -> DataFrame:
-    """Exact area under the ROC curve of scores in [0, 1], per ``by``.
+    """Exact area under the ROC curve per ``by``, for scores of any range.
 
-    Counts the (positive, negative) pairs in the right order, ties half. Rows
-    collapse to distinct scores map-side; pairs are then counted inside fine
-    cells of the score range, between fine cells of one coarse cell and between
-    the ten thousand coarse cells, each level working on the sums of the last,
-    so no window ever covers all the scores and the input is read once.
+    Counts the (positive, negative) pairs in the right order, ties half. Rows collapse to
+    distinct scores map-side; the negatives below each score are a running sum over
+    ranges of scores, so no window ever covers all of them. Rows without a score are
+    left out. Null without a positive or a negative.
     """
     by = list(by)
-    s = F.col(score)
+    keys = {name: known_key(F.col(name)) for name in by}
     level = (
-        df.groupBy(*by, s.alias("s"))
+        df.filter(F.col(score).isNotNull())
+        .groupBy(*[key.alias(name) for name, key in keys.items()], F.col(score).alias("s"))
         .agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
-        .withColumns({"c1": F.floor(F.col("s") * 1e4), "c2": F.floor(F.col("s") * 1e8)})
         # products of counts outgrow a long: twice the pairs, as whole decimals
         .withColumns({n: F.col(n).cast("decimal(19,0)") for n in ("pos", "neg")})
-        .withColumn("pairs", (F.col("pos") * F.col("neg")).cast("decimal(38,0)"))
-    )
-    for cell, order in (([*by, "c1", "c2"], "s"), ([*by, "c1"], "c2"), (by, "c1")):
-        before = Window.partitionBy(*cell).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        below = F.coalesce(F.sum("neg").over(before), F.lit(0)).cast("decimal(19,0)")
-        counted = level.withColumn("pairs", (F.col("pairs") + 2 * F.col("pos") * below).cast("decimal(38,0)"))
-        level = counted.groupBy(*cell).agg(
-            F.sum("pairs").cast("decimal(38,0)").alias("pairs"),
-            *[F.sum(c).cast("decimal(19,0)").alias(c) for c in ("pos", "neg")],
-        )
+    )
+    below = running_sums(level, ["s"], {"below": "neg"}, group=by)
+    pairs = F.col("pos") * F.col("neg") + 2 * F.col("pos") * F.col("below").cast("decimal(19,0)")
+    area = below.withColumn("pairs", pairs.cast("decimal(38,0)")).groupBy(*by).agg(
+        F.sum("pairs").cast("decimal(38,0)").alias("pairs"),
+        *[F.sum(c).cast("decimal(19,0)").alias(c) for c in ("pos", "neg")],
+    )
     all_pairs = F.nullif(F.col("pos").cast("double") * F.col("neg"), F.lit(0.0))
-    return level.select(*by, (F.col("pairs").cast("double") / 2 / all_pairs).alias("roc_auc"))
+    return area.select(
+        *[F.col(f"{name}.value").alias(name) for name in by],
+        (F.col("pairs").cast("double") / 2 / all_pairs).alias("roc_auc"),
+    )
 
 
 def confusion_matrix(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
@@ -117,10 +117,10 @@ def multiclass_report(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def per_class_f1(matrix: DataFrame, labels: Sequence[str] = K.CLASSES) -> DataFrame:
-    """One row with the F1 of every label of the vocabulary; 0 where it never occurs."""
-    classes = per_class(matrix)
-    return classes.agg(
+def per_class_f1(matrix: DataFrame, labels: Sequence[str] = K.CLASSES, by: Sequence[str] = ()) -> DataFrame:
+    """Per ``by`` one row with the F1 of every label of the vocabulary; 0 where it never occurs."""
+    classes = per_class(matrix, by)
+    return classes.groupBy(*by).agg(
         *[
             F.coalesce(round4(F.max(F.when(F.col("label") == c, F.col("f1")))), F.lit(0.0)).alias(c)
             for c in labels

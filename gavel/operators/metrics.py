@@ -172,6 +172,15 @@ def batch_summary(governed: DataFrame, file: str = "source") -> DataFrame:
     )
 
 
+def object_summary(governed: DataFrame, dead: DataFrame, file: str = "source") -> DataFrame:
+    """Per source object and plane: records that got a decision, and records set aside."""
+    plane = F.col("data_plane").alias("plane")
+    sides = governed.select(F.col(file).alias("key"), plane, F.lit(1).alias("good"), F.lit(0).alias("bad")).unionByName(
+        dead.select(F.col(file).alias("key"), plane, F.lit(0).alias("good"), F.lit(1).alias("bad"))
+    )
+    return sides.groupBy("key", "plane").agg(F.sum("good").alias("records"), F.sum("bad").alias("dead"))
+
+
 def latest_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
     return runs.orderBy(F.desc("run_id")).limit(limit)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import HashingTF, IDF, SQLTransformer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from gavel.functions.scores import clip01, fuse, round4
 from gavel.functions.text import NOT_WORD
 from gavel.operators.forest import ForestModel
 from gavel.operators.sequences import sequence_tensor, user_windows
+from gavel.session import stage
 
 
 def with_code(df: DataFrame, prefix: str = "access.") -> DataFrame:
@@ -29,6 +30,16 @@ def with_code(df: DataFrame, prefix: str = "access.") -> DataFrame:
     )
 
 
+def on_plane(events: DataFrame, plane: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` done on the events of one plane only, beside the others as they are.
+
+    The events are staged first, so that the two sides do not read the source twice.
+    """
+    rows = stage(events)
+    mine = F.col("data_plane").eqNullSafe(F.lit(plane))
+    return work(rows.filter(mine)).unionByName(rows.filter(~mine), allowMissingColumns=True)
+
+
 def flat_sequence(window: Column) -> Column:
     """The 8 x 25 window as one ML vector of 200 floats."""
     return array_to_vector(F.flatten(sequence_tensor(window)))
@@ -93,13 +104,11 @@ class AnomalyModel:
     def scorer(self) -> Callable[[DataFrame], DataFrame]:
         """Anomaly scorer port over canonical events of both planes (batch)."""
 
-        def score(events: DataFrame) -> DataFrame:
-            on_access = F.col("data_plane") == "access"
-            access = with_code(events.filter(on_access)).withColumn("_user", F.col("access.user_id"))
-            scored = self.scores(user_windows(access, user="_user")).drop("_user", "code", "window")
-            return scored.unionByName(events.filter(~on_access), allowMissingColumns=True)
+        def score(access: DataFrame) -> DataFrame:
+            rows = with_code(access).withColumn("_user", F.col("access.user_id"))
+            return self.scores(user_windows(rows, user="_user")).drop("_user", "code", "window")
 
-        return score
+        return lambda events: on_plane(events, "access", score)
 
     def save(self, path: str) -> None:
         self.forest.save(f"{path}/forest")
@@ -135,10 +144,15 @@ def training_rows(docs: DataFrame, order: str, labels: Sequence[str] = K.CLASSES
 
 
 def fit_text_model(rows: DataFrame, *, features: int = 1 << 14, rounds: int = 20) -> PipelineModel:
-    """Bag-of-words classifier over the first 256 tokens (``text``, ``label_id``)."""
+    """Bag-of-words classifier over the first 256 tokens (``text``, ``label_id``).
+
+    A text is cut while it is split: two parts more than needed are made (one may be empty,
+    the last one is the rest), however long the text is.
+    """
+    n = K.MAX_TOKENS
+    parts = f"slice(split(lower(text), r'{NOT_WORD}+', {n + 2}), 1, {n + 1})"
     stages = [
-        RegexTokenizer(inputCol="text", outputCol="all_tokens", pattern=f"{NOT_WORD}+"),
-        SQLTransformer(statement=f"SELECT *, slice(all_tokens, 1, {K.MAX_TOKENS}) AS tokens FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, slice(filter({parts}, t -> t <> ''), 1, {n}) AS tokens FROM __THIS__"),
         HashingTF(inputCol="tokens", outputCol="counts", numFeatures=features),
         IDF(inputCol="counts", outputCol="weights"),
         LogisticRegression(
@@ -161,23 +175,18 @@ def classify_text(
             "content_confidence": round4(F.array_max(vector_to_array("probability"))),
         }
     )
-    scratch = ["all_tokens", "tokens", "counts", "weights", "rawPrediction", "probability", "prediction"]
+    scratch = ["tokens", "counts", "weights", "rawPrediction", "probability", "prediction"]
     return out.drop(*scratch, *([] if text == "text" else ["text"]))
 
 
 def text_classifier(model: PipelineModel, labels: Sequence[str] = K.CLASSES):
     """Content classifier port over canonical events of both planes."""
 
-    def classify(events: DataFrame) -> DataFrame:
-        on_content = F.col("data_plane") == "content"
-        scored = classify_text(
-            events.withColumn("_text", F.coalesce("content.text", F.lit(""))), model, labels, text="_text"
-        ).drop("_text")
-        return scored.withColumns(
-            {n: F.when(on_content, F.col(n)) for n in ("content_class", "content_confidence")}
-        )
+    def classify(content: DataFrame) -> DataFrame:
+        texts = content.withColumn("_text", F.coalesce("content.text", F.lit("")))
+        return classify_text(texts, model, labels, text="_text").drop("_text")
 
-    return classify
+    return lambda events: on_plane(events, "content", classify)
 
 
 def external_text_classifier(make_predict: Callable, labels: Sequence[str] = K.CLASSES, batch_size: int = 64):
@@ -186,15 +195,14 @@ def external_text_classifier(make_predict: Callable, labels: Sequence[str] = K.C
     predict = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     names = F.array(*[F.lit(n) for n in labels])
 
-    def classify(events: DataFrame) -> DataFrame:
-        on_content = F.col("data_plane") == "content"
-        found = events.withColumn("_p", predict(F.coalesce("content.text", F.lit(""))))
+    def classify(content: DataFrame) -> DataFrame:
+        found = content.withColumn("_p", predict(F.coalesce("content.text", F.lit(""))))
         best = F.array_max("_p")
         return found.withColumns(
             {
-                "content_class": F.when(on_content, F.element_at(names, F.array_position("_p", best).cast("int"))),
-                "content_confidence": F.when(on_content, round4(best.cast("double"))),
+                "content_class": F.element_at(names, F.array_position("_p", best).cast("int")),
+                "content_confidence": round4(best.cast("double")),
             }
         ).drop("_p")
 
-    return classify
+    return lambda events: on_plane(events, "content", classify)

@@ -7,56 +7,68 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 1 << 20
+from gavel.operators.ordered import known_key, running_sums
+from gavel.session import BROADCAST_ROWS, cut_lineage
+
 _FAN = 4096
 
 
-def keep_first(df: DataFrame, key: Column, order: str, *, after: Column | None = None) -> DataFrame:
-    """The row with the smallest (``after``, ``order``) of every key.
+def not_first(df: DataFrame, key: Column, order: str, *, after: Column | None = None) -> DataFrame:
+    """``order`` of every row that is not the first of its key by (``after``, ``order``).
 
-    Only (key, order) is shuffled, already reduced map-side, so any number of
-    copies of one key is one row per task. The survivors come back by ``order``,
-    which no two rows share.
+    Works on (key, order) alone. A key is reduced map-side, so any number of copies of
+    one key is one row per task; the rest is told apart by ``order``, which no two rows share.
     """
-    keyed = df.groupBy(key.alias("_key"))
+    lead = [] if after is None else [after.alias("lead")]
+    keyed = cut_lineage(df.select(key.alias("key"), *lead, F.col(order).alias("order")))
     if after is None:
-        first = keyed.agg(F.min(order).alias(order)).select(order)
+        first = keyed.groupBy("key").agg(F.min("order").alias("order"))
     else:
-        rank = F.struct(after.alias("lead"), F.col(order).alias("order"))
-        first = keyed.agg(F.min(rank).alias("first")).select(F.col("first.order").alias(order))
-    return df.join(first, order, "left_semi")
+        ranked = keyed.groupBy("key").agg(F.min(F.struct("lead", "order")).alias("first"))
+        first = ranked.select(F.col("first.order").alias("order"))
+    return keyed.join(first.select("order"), "order", "left_anti").select(F.col("order").alias(order))
 
 
-def with_position(
-    df: DataFrame, order: str, *, after: Column | None = None, each: bool = False,
-    bucket_rows: int = BUCKET_ROWS,
+def without(df: DataFrame, losers: DataFrame, order: str) -> DataFrame:
+    """The rows of ``df`` whose ``order`` is not among ``losers``.
+
+    A list of at most ``BROADCAST_ROWS`` (counted) goes to every task and the rows stay
+    where they are; a longer one meets them by a shuffle on ``order``, which is never hot.
+    """
+    listed = cut_lineage(losers)
+    small = listed.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(listed) if small else listed.hint("merge"), order, "left_anti")
+
+
+def keep_first(df: DataFrame, key: Column, order: str, *, after: Column | None = None) -> DataFrame:
+    """The row with the smallest (``after``, ``order``) of every key; see ``not_first``."""
+    return without(df, not_first(df, key, order, after=after), order)
+
+
+def positions(
+    df: DataFrame, order: str, *, after: Column | None = None, each: bool = False, ranges: int | None = None
 ) -> DataFrame:
-    """Zero-based ``position`` in the order of (``after``, ``order``); null is a value of
-    ``after``. With ``each``, positions start anew for every value of ``after``.
+    """``order, position``: zero-based place in the order of (``after``, ``order``); null is
+    a value of ``after`` and comes first. With ``each``, places start anew for every value.
 
-    Rows are counted per block of ``bucket_rows`` consecutive order values; the
-    running total of those counts is a small table, and only rows of one block
-    are ever numbered together. The join and the numbering share one shuffle.
+    Only the two columns move. Ranges of equal size are numbered by themselves, however
+    sparse or crowded the order values are.
     """
     lead = F.lit(0) if after is None else after
-    blocks = df.withColumns({"_lead": lead, "_block": F.floor(F.col(order) / bucket_rows)})
-    ordered = Window.partitionBy("_lead").orderBy("_block") if each else Window.orderBy("_lead", "_block")
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    counts = blocks.groupBy("_lead", "_block").agg(F.count("*").alias("_n"))
-    starts = counts.select(
-        F.col("_lead").alias("_lead_at"), F.col("_block").alias("_block_at"),
-        F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_start"),
-    )
-    same = F.col("_lead").eqNullSafe(F.col("_lead_at")) & F.col("_block").eqNullSafe(F.col("_block_at"))
-    inside = F.row_number().over(Window.partitionBy("_lead", "_block").orderBy(order))
-    return (
-        blocks.join(starts, same)
-        .withColumn("position", F.col("_start") + inside - 1)
-        .drop("_lead", "_block", "_lead_at", "_block_at", "_start")
-    )
+    keys = df.select(F.col(order).alias("order"), known_key(lead).alias("lead"), F.lit(1).cast("bigint").alias("one"))
+    by = ["order"] if each else ["lead", "order"]
+    placed = running_sums(keys, by, {"position": "one"}, group=["lead"] if each else [], ranges=ranges)
+    return placed.select(F.col("order").alias(order), "position")
+
+
+def with_position(
+    df: DataFrame, order: str, *, after: Column | None = None, each: bool = False, ranges: int | None = None
+) -> DataFrame:
+    """``df`` with ``position``; see ``positions``."""
+    return df.join(positions(df, order, after=after, each=each, ranges=ranges), order)
 
 
 def kth_values(df: DataFrame, order: str, ranks: Mapping, group: Column | None = None) -> dict:
@@ -115,8 +127,8 @@ def balance(df: DataFrame, label: str, order: str) -> DataFrame:
     smallest = known.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
     if smallest is None:
         return known
-    placed = with_position(known, order, after=F.col(label), each=True)
-    return placed.filter(F.col("position") < smallest).drop("position")
+    kept = positions(known, order, after=F.col(label), each=True).filter(F.col("position") < smallest)
+    return known.join(kept.select(order), order, "left_semi")
 
 
 def validation_start(df: DataFrame, order: str, share: float) -> int:

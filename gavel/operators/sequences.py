@@ -2,10 +2,11 @@
 
 The window of an event is its user's last eight events, itself included, in the
 order of the ``occurred_at`` text and then the event id. A single window
-partitioned by user would put all rows of a busy user into one task, so a
-user's history is cut into time *chunks*: windows are built inside a chunk, and
-the first seven events of a chunk borrow from a carry, the last seven events
-before it, which is assembled from one small row per chunk.
+partitioned by user would put all rows of a busy user into one task, so the rows are
+dealt by ranges of (user, time, id) of about equal size, and a user who fills many
+ranges is spread over them, even within one hour. Windows are built inside a range; the
+first seven events of a user in a range borrow from a carry, the user's last seven
+events before it, which is assembled from one small row per user and range.
 """
 
 from __future__ import annotations
@@ -15,67 +16,9 @@ from pyspark.sql import functions as F
 
 from gavel import constants as K
 from gavel.functions.features import vector_of_code
-from gavel.session import BROADCAST_ROWS, broadcast_if_small
+from gavel.operators.ordered import PART, in_ranges
 
 PAD = -1
-CHUNK_ROWS = 1_000_000
-# Prefix lengths of "<occurred_at>, <event_id>" to cut at: hour, minute, second,
-# fraction, then ever more of the id. A prefix preserves the text order.
-_LEVELS = (13, 16, 19, 23, 26, 34, 36, 38, 41)
-
-
-def order_text(moment: str, tie: str) -> Column:
-    """Text that sorts like (moment, tie): the separator sorts before anything printed."""
-    return F.concat_ws("\u0001", moment, tie)
-
-
-def _prefix(moment: str, tie: str, length: int) -> Column:
-    return F.substring(order_text(moment, tie), 1, length)
-
-
-def crowded_hours(
-    df: DataFrame, user: str, moment: str, tie: str, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame | None:
-    """``user, hour, length``: hours of a user with more than ``chunk_rows`` events and
-    the prefix length that cuts each into small enough chunks; None without any.
-
-    At most (rows / chunk_rows) hours qualify. Counting is map-side first.
-    """
-    hour = _prefix(moment, tie, _LEVELS[0]).alias("_hour")
-    busy = (
-        df.groupBy(user, hour).agg(F.count("*").alias("n")).filter(F.col("n") > chunk_rows).select(user, "_hour")
-    )
-    busy = broadcast_if_small(busy)
-    if not busy.limit(1).count():
-        return None
-    rows = df.withColumn("_hour", hour).join(busy, [user, "_hour"])
-    fits: Column = F.lit(_LEVELS[-1])
-    sizes = None
-    for length in reversed(_LEVELS[1:-1]):
-        largest = (
-            rows.groupBy(user, "_hour", _prefix(moment, tie, length).alias("p"))
-            .agg(F.count("*").alias("n"))
-            .groupBy(user, "_hour")
-            .agg(F.max("n").alias(f"n{length}"))
-        )
-        sizes = largest if sizes is None else sizes.join(largest, [user, "_hour"])
-        fits = F.when(F.col(f"n{length}") <= chunk_rows, F.lit(length)).otherwise(fits)
-    # the shortest sufficient prefix wins: it was wrapped around the others last
-    return broadcast_if_small(sizes.select(user, "_hour", fits.alias("_length")))
-
-
-def with_chunk(
-    df: DataFrame, user: str, moment: str, tie: str, crowded: DataFrame | None = None
-) -> DataFrame:
-    """Adds ``chunk``; chunks of a user are disjoint ranges of the order."""
-    hour = _prefix(moment, tie, _LEVELS[0])
-    if crowded is None:
-        return df.withColumn("chunk", hour)
-    joined = df.withColumn("_hour", hour).join(crowded, [user, "_hour"], "left")
-    length = F.coalesce(F.col("_length"), F.lit(_LEVELS[0]))
-    return joined.withColumn(
-        "chunk", order_text(moment, tie).substr(F.lit(1), length)
-    ).drop("_hour", "_length")
 
 
 def user_windows(
@@ -87,15 +30,15 @@ def user_windows(
     tie: str = "event_id",
     within: tuple[str, ...] = (),
     size: int = K.WINDOW,
-    crowded: DataFrame | None = None,
     earlier: DataFrame | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Adds ``window``: the last ``size`` values of the user up to this row, oldest
     first and not padded.
 
     ``within`` restarts histories per value of more columns (a data split).
     ``earlier`` (``user, carried``: array of values) is history from before
-    ``df``, as a stream keeps it.
+    ``df``, as a stream keeps it. ``ranges`` fixes the number of ranges.
     """
     if earlier is not None and within:
         raise ValueError("earlier history belongs to users, not to splits of them")
@@ -103,30 +46,41 @@ def user_windows(
     # plan (no inferred null filter on one side), so Spark shuffles them once.
     named = {f"_key{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate((user, *within))}
     keys = list(named)
-    chunked = with_chunk(df, user, moment, tie, crowded).withColumns(named)
-    in_chunk = Window.partitionBy(*keys, "chunk").orderBy(moment, tie)
-    local = chunked.withColumn("_local", F.collect_list(value).over(in_chunk.rowsBetween(1 - size, 0)))
-    # The last window of a chunk holds its tail. The grouping is the partitioning
-    # the window already has, so it moves nothing.
+    dealt = in_ranges(df.withColumns(named), [*keys, moment, tie], ranges)
+    in_range = Window.partitionBy(*keys, PART).orderBy(moment, tie)
+    local = dealt.withColumn("_local", F.collect_list(value).over(in_range.rowsBetween(1 - size, 0)))
+    # The last window of a user in a range holds the tail. The grouping is the
+    # partitioning the window already has, so it moves nothing.
     tails = (
-        local.groupBy(*keys, "chunk")
+        local.groupBy(*keys, PART)
         .agg(F.max_by("_local", F.struct(moment, tie)).alias("_tail"))
         .withColumn("_tail", F.slice("_tail", F.greatest(F.size("_tail") - size + 2, F.lit(1)), size - 1))
     )
-    if earlier is not None:  # the chunk before all chunks
+    if earlier is not None:  # the range before all ranges
         oldest = F.coalesce(F.col(user).cast("string"), F.lit(""))
         tails = tails.unionByName(
-            earlier.select(oldest.alias(keys[0]), F.lit("").alias("chunk"), F.col("carried").alias("_tail"))
+            earlier.select(oldest.alias(keys[0]), F.lit(-1).alias(PART), F.col("carried").alias("_tail"))
         )
-    # size - 1 chunks back always hold size - 1 events, if the user has that many.
-    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(1 - size, -1)
+    # size - 1 ranges back always hold size - 1 events, if the user has that many.
+    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(1 - size, -1)
     carry = tails.withColumn("_carry", F.flatten(F.collect_list("_tail").over(before))).drop("_tail")
-    joined = local.join(carry, [*keys, "chunk"], "left")
+    carry = carry.filter(F.size("_carry") > 0)
+    if earlier is None:  # at most one user goes on from one range to the next
+        carry = F.broadcast(carry)
+    joined = local.join(carry, [*keys, PART], "left")
     past = F.coalesce("_carry", F.array().cast(carry.schema["_carry"].dataType))
     both = F.concat(past, F.col("_local"))
     start = F.greatest(F.size(both) - size + 1, F.lit(1))
     window = F.when(F.size("_local") == size, F.col("_local")).otherwise(F.slice(both, start, size))
-    return joined.withColumn("window", window).drop(*keys, "_local", "_carry", "chunk")
+    return joined.withColumn("window", window).drop(*keys, "_local", "_carry", PART)
+
+
+def last_values(windows: DataFrame, size: int = K.WINDOW, user: str = "user_id") -> DataFrame:
+    """``user, carried``: the last ``size - 1`` values of every user in ``windows``, which
+    is what later events borrow."""
+    last = windows.groupBy(user).agg(F.max_by("window", F.struct("occurred_at", "event_id")).alias("window"))
+    start = F.greatest(F.size("window") - size + 2, F.lit(1))
+    return last.select(user, F.slice("window", start, size - 1).alias("carried"))
 
 
 def left_padded(window: Column, size: int = K.WINDOW, pad: int = PAD) -> Column:
@@ -136,10 +90,3 @@ def left_padded(window: Column, size: int = K.WINDOW, pad: int = PAD) -> Column:
 def sequence_tensor(window: Column, size: int = K.WINDOW) -> Column:
     """``size`` feature vectors, zero vectors first, from a window of feature codes."""
     return F.transform(left_padded(window, size), vector_of_code)
-
-
-def busy_check(df: DataFrame, chunk_rows: int = CHUNK_ROWS, **names: str) -> DataFrame | None:
-    """``crowded_hours`` with the default column names."""
-    return crowded_hours(
-        df, names.get("user", "user_id"), names.get("moment", "occurred_at"), names.get("tie", "event_id"), chunk_rows
-    )

@@ -169,6 +169,27 @@ def rates() -> str:
     )
 
 
+LEDGER_TEXT = """'"ledger":{"chaincode":"governance","channel":"governance","transaction_id":"'
+      || CASE WHEN recorded THEN tx ELSE '' END || '"},'"""
+
+
+def decision_text(ledger: str, d: str = "") -> str:
+    """A decision as compact JSON with sorted keys; absent members are left out."""
+
+    def member(name: str) -> str:
+        return f"coalesce('\"{name}\":' || CAST({d}{name} AS VARCHAR), NULL)"
+
+    signals = (
+        f"concat_ws(',', '\"content_class\":\"' || {d}content_class || '\"', {member('content_confidence')}, "
+        f"{member('fused_anomaly_score')}, {member('isolation_forest_score')}, {member('lstm_score')})"
+    )
+    return (
+        f"""'{{"action":"' || {d}action || '","decided_at":"' || {d}decided_at || '","decision_id":"' || {d}decision_id
+      || '","event_id":"' || {d}event_id || '","explanation":"' || {d}explanation || '",' || {ledger}
+      || '"rule_ids":["' || array_to_string({d}rule_ids, '","') || '"],"signals":{{' || {signals} || '}}}}'"""
+    )
+
+
 RULE_OUT = "event_id, action, array_to_string(rule_ids, ',') AS rule_ids, explanation"
 TOTALS = """
 tot AS (
@@ -274,11 +295,11 @@ def oracle() -> dict[str, str]:
     access_cols = "event_id, user_id, role, department, resource_id, resource_class, action, source_ip, device_id, session_id"
     return {
         "governed_actions": f"""WITH {ALL} SELECT a.action, count(dec.action) AS n FROM {ACTIONS}
-            LEFT JOIN dec ON dec.action = a.action AND dec.plane = 'access' GROUP BY a.action""",
+            LEFT JOIN dec ON dec.action = a.action GROUP BY a.action""",
         "normalized_access": f"""WITH {ACCESS}, {DIRTY} SELECT {access_cols}, 'access' AS event_type, 'access' AS data_plane,
             occurred_at, 'events.parquet' AS source FROM normal""",
         "normalized_content": f"""WITH {CONTENT} SELECT
-            {uuid_of("concat_ws('|', 'event', 'documents.parquet', 'content', '', '', '', '', '', '', '', '', '', '', document_id, text)")} AS event_id,
+            {uuid_of("concat_ws('|', 'event', 'documents.parquet', 'content', '', '', '', '', '', '', '', '', '', '', document_id, replace(replace(text, '\\', '\\\\'), '|', '\\|'))")} AS event_id,
             'content' AS event_type, 'content' AS data_plane, '{T0}' AS occurred_at, 'documents.parquet' AS source,
             document_id, text_md5 FROM doc""",
         "inferred_planes": f"""WITH {ACCESS}, {CONTENT} SELECT event_id AS id,
@@ -314,8 +335,7 @@ def oracle() -> dict[str, str]:
             CASE WHEN content_class IS NOT NULL THEN content_class || ' (' || content_confidence || ')'
                  ELSE 'anomaly ' || regexp_replace(CAST(fused_anomaly_score AS VARCHAR), '\\.0$', '') END AS signal,
             CASE WHEN recorded THEN substr(tx, 1, 12) || '…' ELSE '—' END AS tx FROM dec""",
-        "decision_json": f"""WITH {ALL} SELECT decision_id, '{{"action":"' || action || '","decided_at":"' || decided_at
-            || '","decision_id":"' || decision_id || '","event_id":"' || event_id || '"}}' AS json FROM dec WHERE plane = 'access'""",
+        "decision_json": f"WITH {ALL} SELECT decision_id, {decision_text(LEDGER_TEXT)} AS json FROM dec",
         "access_heuristic": f"""WITH {ACCESS}, {RISK} SELECT event_id, iso AS isolation_forest_score,
             lstm AS lstm_score, fused AS fused_anomaly_score FROM scored""",
         "keyword_classes": f"""WITH {CONTENT} SELECT document_id, cls AS content_class,
@@ -334,8 +354,14 @@ def oracle() -> dict[str, str]:
               CASE cls WHEN 'PII' THEN 'PII content flagged for review.' WHEN 'financial' THEN 'Financial content flagged.'
                 ELSE 'No content rule triggered.' END FROM doc""",
         "rule_references": f"WITH {ALL}, {REFS}, {FREQ} SELECT rule_id, reference FROM freq JOIN refs USING (rule_id)",
-        "event_decision_pairs": f"""WITH {ALL} SELECT e.event_id, e.user_id, e.action AS event_action, dec.decision_id, dec.action
-            FROM acc e JOIN dec ON e.event_id = dec.event_id WHERE dec.plane = 'access'""",
+        "event_decision_pairs": f"""WITH {ALL}, whole AS (
+              SELECT event_id, 'access' AS event_type, 'access' AS data_plane, occurred_at, 'events.parquet' AS source,
+                user_id, role, department, resource_id, resource_class, action, source_ip, device_id, session_id,
+                CAST(NULL AS VARCHAR) AS document_id, CAST(NULL AS VARCHAR) AS text_md5, CAST(NULL AS VARCHAR) AS label FROM acc
+              UNION ALL SELECT event_id, 'content', 'content', '{T0}', 'documents.parquet',
+                NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, document_id, text_md5, NULL FROM doc)
+            SELECT whole.*, {decision_text(LEDGER_TEXT, 'dec.')} AS decision
+            FROM whole JOIN dec ON dec.event_id = whole.event_id AND dec.plane = whole.data_plane""",
         "ledger_append": f"""WITH {ALL}, {BATCH} SELECT event_id, decision_id,
               CASE WHEN decision_id IS NULL THEN 'decision is missing decision_id'
                    WHEN recorded OR copy > 0 THEN 'decision already exists' ELSE 'accepted' END AS outcome,
@@ -345,8 +371,8 @@ def oracle() -> dict[str, str]:
         "ledger_lookup": f"""WITH {ALL} SELECT decision_id, CASE WHEN recorded THEN action END AS action,
             CASE WHEN recorded THEN tx END AS ledger_tx_id, recorded AS found FROM dec""",
         "ledger_exists": f"WITH {ALL} SELECT decision_id FROM dec WHERE recorded",
-        "ledger_history": f"""WITH {ALL} SELECT decision_id, tx AS tx_id, decided_at AS timestamp, false AS is_delete
-            FROM dec WHERE recorded""",
+        "ledger_history": f"""WITH {ALL} SELECT decision_id, tx AS tx_id, decided_at AS timestamp, false AS is_delete,
+            {decision_text("'\"ledger_tx_id\":\"' || tx || '\",'")} AS value FROM dec WHERE recorded""",
         "metric_totals": f"""WITH {ALL}, {TOTALS} SELECT n AS decisions, enf AS enforced, rec AS ledger_recorded, open AS open_alerts,
             {ratio('enf', 'n')} AS enforcement_rate, {ratio('rec', 'n')} AS ledger_coverage, {ratio('alw', 'n')} AS allow_rate FROM tot""",
         "metric_actions": f"""WITH {ALL} SELECT a.action, count(dec.action) AS n FROM {ACTIONS}
@@ -419,9 +445,9 @@ def oracle() -> dict[str, str]:
             a AS ({auc('score', 'long', 'scorer')})
             SELECT c.*, {rates()}, round(roc_auc, 4) AS roc_auc FROM c JOIN a USING (scorer)""",
         "multiclass_report": f"WITH {CANDIDATES} SELECT * FROM rep",
-        "class_f1": f"""WITH {CANDIDATES} SELECT coalesce(max(round(f, 4)) FILTER (l = '0'), 0e0) AS "0",
+        "class_f1": f"""WITH {CANDIDATES} SELECT model, coalesce(max(round(f, 4)) FILTER (l = '0'), 0e0) AS "0",
             coalesce(max(round(f, 4)) FILTER (l = '1'), 0e0) AS "1", coalesce(max(round(f, 4)) FILTER (l = '2'), 0e0) AS "2"
-            FROM prf WHERE model = 'by_length'""",
+            FROM prf GROUP BY model""",
         "model_comparison": f"WITH {CANDIDATES} SELECT model, macro_f1 FROM rep ORDER BY macro_f1 DESC, model LIMIT 1",
         "text_signatures": f"""SELECT doc_id, md5({norm('text')}) AS norm_md5, {signature('text')} AS signature
             FROM documents WHERE {strip('text')} <> ''""",

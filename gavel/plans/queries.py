@@ -24,7 +24,7 @@ from gavel.plans.govern import fallback_engine, govern
 from gavel.plans.train import labelled
 from gavel.session import cut_lineage
 from gavel.sources import testbed as B
-from gavel.sources.decisions import compact_json
+from gavel.sources.decisions import canonical_json, row_json
 from gavel.sources.records import JsonFields, infer_plane, parse_lines
 from gavel.sources.rules import references_table, shipped_rules
 
@@ -63,7 +63,7 @@ def rule_columns() -> list[Column]:
 
 
 def governed_actions(spark, d):
-    return metrics.by_action(metrics.cube(decide.decisions_of(governed(spark, d, "access"))))
+    return metrics.by_action(metrics.cube(decide.decisions_of(governed(spark, d))))
 
 
 def normalized_access(spark, d):
@@ -94,7 +94,7 @@ def mixed_lines(spark, d) -> DataFrame:
         .alias("value"),
     )
     docs = B.content_records(spark, d).select(
-        F.col("event_id").alias("id"), F.to_json(F.struct("document_id", F.length("text").alias("size"))).alias("value")
+        F.col("event_id").alias("id"), F.to_json(F.struct("document_id", "text")).alias("value")
     )
     return access.unionByName(docs)
 
@@ -187,9 +187,8 @@ def decision_display(spark, d):
 
 
 def decision_json(spark, d):
-    return decisions(spark, d, "access").select(
-        "decision_id", compact_json(F.struct("action", "decision_id", "event_id", "decided_at"), ["decision_id", "action", "event_id", "decided_at"]).alias("json")
-    )
+    made = decisions(spark, d)
+    return made.select("decision_id", row_json(made).alias("json"))
 
 
 def access_heuristic(spark, d):
@@ -223,10 +222,16 @@ def rule_references(spark, d):
 
 
 def event_decision_pairs(spark, d):
-    """Events joined back to their stored decisions."""
-    events = B.access_events(spark, d).select("event_id", F.col("access.user_id").alias("user_id"), F.col("access.action").alias("event_action"))
-    made = decisions(spark, d, "access").select("event_id", "decision_id", "action")
-    return events.join(made, "event_id")
+    """Whole events of both planes joined back to their whole decisions."""
+    events = B.canonical_events(spark, d)
+    pairs = decide.with_own_decision(events, decisions(spark, d))
+    c = F.col("content")
+    return pairs.select(
+        "event_id", "event_type", "data_plane", "occurred_at", "source",
+        *[F.col(f"access.{n}").alias(n) for n in K.ACCESS_REQUIRED + K.ACCESS_OPTIONAL],
+        c.document_id.alias("document_id"), F.md5(c.text).alias("text_md5"), c.label.alias("label"),
+        canonical_json(F.col("decision"), pairs.schema["decision"].dataType).alias("decision"),
+    )
 
 
 # --- ledger ---------------------------------------------------------------------------------------------
@@ -254,15 +259,19 @@ def ledger_batch(made: DataFrame) -> DataFrame:
 def ledger_append(spark, d):
     made = recorded_decisions(spark, d)
     accepted, rejected = ledger.record(
-        ledger_batch(made), stored_ledger(made).select("decision_id"), F.col("copy")
+        ledger_batch(made), stored_ledger(made).select("id_prefix", "decision_id"), F.col("copy")
     )
     done = accepted.select("event_id", "decision_id", F.lit("accepted").alias("outcome"), F.col("ledger_tx_id").alias("tx_id"))
     refused = rejected.select("event_id", "decision_id", F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("tx_id"))
     return done.unionByName(refused)
 
 
+def decided(spark, d) -> DataFrame:
+    return decide.decisions_of(governed(spark, d))
+
+
 def ledger_scan(spark, d):
-    return ledger.scan(decide.from_ledger_rows(stored_ledger(recorded_decisions(spark, d)))).select(
+    return ledger.scan(decide.from_ledger_rows(stored_ledger(decided(spark, d)))).select(
         "decision_id", "action", "decided_at", F.col("ledger.transaction_id").alias("transaction_id"),
         F.col("ledger.channel").alias("channel"),
     )
@@ -270,19 +279,18 @@ def ledger_scan(spark, d):
 
 def ledger_lookup(spark, d):
     """The stored row of every decision, or that there is none."""
-    made = recorded_decisions(spark, d)
-    stored = stored_ledger(made).select("decision_id", "action", "ledger_tx_id")
+    made = decided(spark, d)
+    stored = stored_ledger(made).select("id_prefix", "decision_id", "action", "ledger_tx_id")
     return ledger.lookup(stored, made.select("decision_id"))
 
 
 def ledger_exists(spark, d):
-    made = recorded_decisions(spark, d)
-    return ledger.exists(stored_ledger(made), made.select("decision_id"))
+    made = decided(spark, d)
+    return ledger.exists(stored_ledger(made).select("id_prefix", "decision_id"), made.select("decision_id"))
 
 
 def ledger_history(spark, d):
-    rows = stored_ledger(recorded_decisions(spark, d))
-    return ledger.history(rows).select("decision_id", "tx_id", "timestamp", "is_delete")
+    return ledger.history(stored_ledger(decided(spark, d)))
 
 
 # --- reporting ------------------------------------------------------------------------------------------------
@@ -495,7 +503,7 @@ def multiclass_report(spark, d):
 
 
 def class_f1(spark, d):
-    return evaluate.per_class_f1(_candidates(spark, d).filter(F.col("model") == "by_length").drop("model"), labels=("0", "1", "2"))
+    return evaluate.per_class_f1(_candidates(spark, d), labels=("0", "1", "2"), by=["model"])
 
 
 def model_comparison(spark, d):
@@ -522,9 +530,10 @@ def deduped_documents(spark, d):
 def leakage_removed(spark, d):
     """Documents that share no opening with the benchmark or the labelled split."""
     docs = _docs(spark, d)
-    split = docs.join(B.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
-    seen = corpus.signatures(B.table(spark, d, "benchmark")).union(corpus.signatures(split)).distinct()
-    return corpus.remove_seen(docs, seen).select("doc_id")
+    marks = corpus.signed(docs, "doc_id")
+    split = marks.join(B.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    seen = corpus.signatures(B.table(spark, d, "benchmark")).union(split.select("signature"))
+    return corpus.remove_seen(docs, seen, "doc_id", marks=marks).select("doc_id")
 
 
 def balanced_classes(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gavel import schemas as S
 
@@ -25,30 +26,45 @@ def load_decisions(spark: SparkSession, path: str, kind: str = "json") -> DataFr
     return _read_or_empty(spark, path, S.DECISION, kind)
 
 
-def compact_json(row: Column, fields: list[str]) -> Column:
-    """One JSON object with sorted keys and no null members."""
-    return F.to_json(F.struct(*[row[n].alias(n) for n in sorted(fields)]))
+# Fields whose text is itself JSON and becomes a nested value.
+JSON_TEXTS = ("metadata",)
 
 
-def _sorted_struct(column: Column, schema) -> Column:
-    """``column`` with its struct fields in alphabetical order, at every level."""
-    parts = []
-    for field in sorted(schema.fields, key=lambda f: f.name):
-        value = column[field.name]
-        nested = hasattr(field.dataType, "fields")
-        parts.append((_sorted_struct(value, field.dataType) if nested else value).alias(field.name))
-    return F.when(column.isNotNull(), F.struct(*parts))
+def canonical(column: Column, kind: T.DataType, name: str = "") -> Column:
+    """``column`` with struct fields and map keys in alphabetical order, at every level;
+    texts of ``JSON_TEXTS`` fields become the value they spell (a broken one is null)."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        inner = [canonical(column[f.name], f.dataType, f.name).alias(f.name) for f in fields]
+        return F.when(column.isNotNull(), F.struct(*inner)) if inner else column
+    if isinstance(kind, T.ArrayType):
+        plain = not isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType))
+        return column if plain else F.transform(column, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        keys = F.array_sort(F.map_keys(column))
+        values = F.transform(keys, lambda k: canonical(F.element_at(column, k), kind.valueType))
+        return F.map_from_arrays(keys, values)
+    if name in JSON_TEXTS and isinstance(kind, T.StringType):
+        return F.try_parse_json(column)
+    return column
+
+
+def canonical_json(column: Column, kind: T.DataType) -> Column:
+    """One compact JSON text: sorted keys, and no null members, at every level."""
+    return F.to_json(canonical(column, kind), {"ignoreNullFields": "true"})
+
+
+def row_json(df: DataFrame, names: list[str] | None = None) -> Column:
+    """``canonical_json`` of the columns ``names`` (default: all) as one object."""
+    fields = [f for f in df.schema.fields if names is None or f.name in names]
+    parts = {f.name: canonical(F.col(f"`{f.name}`"), f.dataType, f.name) for f in fields}
+    return F.to_json(F.struct(*[parts[n].alias(n) for n in sorted(parts)]), {"ignoreNullFields": "true"})
 
 
 def sorted_columns(df: DataFrame) -> DataFrame:
-    """Columns and struct fields in alphabetical order, which is the order JSON
-    writers keep."""
-    columns = []
-    for field in sorted(df.schema.fields, key=lambda f: f.name):
-        c = F.col(field.name)
-        nested = hasattr(field.dataType, "fields")
-        columns.append((_sorted_struct(c, field.dataType) if nested else c).alias(field.name))
-    return df.select(*columns)
+    """Columns in canonical form and order, which is the order JSON writers keep."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    return df.select(*[canonical(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in fields])
 
 
 def append_json(df: DataFrame, path: str) -> None:

@@ -64,8 +64,12 @@ def _with_file(df: DataFrame) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """JSON lines -> ``record`` (variant) and ``malformed``; blank lines vanish."""
-    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last one counts
+    """JSON lines -> ``record`` (variant) and ``malformed``; blank lines vanish.
+
+    A record that repeats a key is sound, and its last value counts, in sessions with
+    ``spark.sql.variant.allowDuplicateKeys`` (set by ``build_session``); in others it is
+    malformed.
+    """
     record = F.from_json(F.col(line), "variant", {"maxStringLen": LONGEST})
     parsed = lines.filter(~is_blank(F.col(line))).withColumn("record", record)
     is_object = F.schema_of_variant(F.col("record")).startswith("OBJECT")

@@ -1,7 +1,7 @@
 """User windows over a stream without a hot task.
 
 ``streaming_windows`` keeps state by user, so one very busy user is one task.
-Here each micro-batch is windowed like a batch table, cut into time chunks that
+Here each micro-batch is windowed like a batch table, dealt by ranges that
 spread over all tasks, and only a user's last seven codes travel between
 batches, through a small table of versions on shared storage.
 """
@@ -10,35 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gavel import constants as K
-from gavel.operators.sequences import busy_check, user_windows
+from gavel.operators.sequences import last_values, user_windows
+from gavel.session import stage
+from gavel.streaming.carry import carried_before, save_carry
 
-CARRY = T.StructType(
-    [
-        T.StructField("user_id", T.StringType()),
-        T.StructField("carried", T.ArrayType(T.IntegerType())),
-        T.StructField("version", T.LongType()),
-    ]
-)
-MERGE_EVERY = 50
 
-
-def carried_before(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
-    """Latest carry of every user from batches before ``batch_id``."""
-    try:
-        versions = spark.read.schema(CARRY).parquet(state)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], CARRY).drop("version")
-    merged = (batch_id - 1) // MERGE_EVERY * MERGE_EVERY  # holds every user known by then
-    recent = versions.filter((F.col("version") < batch_id) & (F.col("version") >= merged))
-    return recent.groupBy("user_id").agg(F.max_by("carried", "version").alias("carried"))
+def windows_with_history(rows: DataFrame, batch_id: int, state: str, *, user: str = "user_id", size: int = K.WINDOW) -> DataFrame:
+    """``user_windows`` of one micro-batch that go on from the batches before it."""
+    before = carried_before(rows.sparkSession, state, batch_id)
+    touched = rows.select(F.col(user).alias("user_id")).distinct()
+    earlier = before.join(touched, "user_id", "left_semi").withColumnRenamed("user_id", user)
+    return user_windows(rows, user=user, size=size, earlier=earlier)
 
 
 def window_batch(
@@ -48,21 +34,13 @@ def window_batch(
 
     Batches follow each other in arrival order; inside one, events are ordered
     by time and id. A replay reads the same earlier versions and overwrites its
-    own, so it repeats the same result. Every ``MERGE_EVERY`` batches a version
-    takes in all users, which bounds the versions a batch has to read.
+    own, so it repeats the same result. The batch is read once and windowed once.
     """
-    spark = batch.sparkSession
-    before = carried_before(spark, state, batch_id)
-    touched = batch.select("user_id").distinct()
-    earlier = before.join(touched, "user_id", "left_semi")
-    windows = user_windows(batch, size=size, crowded=busy_check(batch), earlier=earlier)
+    turn = f"{state}.staged/{batch_id % 2}"  # two batches are kept, for a replay of the last one
+    rows = stage(batch, f"{turn}/batch")
+    windows = stage(windows_with_history(rows, batch_id, state, size=size), f"{turn}/windows")
     sink(windows, batch_id)
-    last = windows.groupBy("user_id").agg(F.max_by("window", F.struct("occurred_at", "event_id")).alias("window"))
-    start = F.greatest(F.size("window") - size + 2, F.lit(1))
-    carry = last.select("user_id", F.slice("window", start, size - 1).alias("carried"))
-    if batch_id and batch_id % MERGE_EVERY == 0:
-        carry = carry.unionByName(before.join(touched, "user_id", "left_anti"))
-    carry.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+    save_carry(last_values(windows, size), state, batch_id)
 
 
 def window_stream(events: DataFrame, state: str, checkpoint: str, sink: Callable[[DataFrame, int], None]):

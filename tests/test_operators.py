@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from gavel import constants as K
 from gavel.functions import features as feat
 from gavel.operators import corpus, evaluate, forest, metrics, models, ranks
-from gavel.operators.sequences import busy_check, left_padded, sequence_tensor, user_windows
+from gavel.operators.ordered import in_ranges, running_sums
+from gavel.operators.sequences import left_padded, sequence_tensor, user_windows
 from gavel.plans.train import train_anomaly
 from gavel.session import broadcast_if_small, checkpoint_dir
 from labelled import access_log_rows, labelled_texts
@@ -47,15 +48,21 @@ def test_windows_equal_a_loop(spark):
     assert collected(user_windows(spark.createDataFrame(rows, SEQ))) == loop_windows(rows)
 
 
-@pytest.mark.parametrize("chunk_rows", [5, 20])
-def test_windows_with_crowded_hours(spark, chunk_rows):
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_windows_with_one_crowded_hour(spark, ranges):
+    """Most events belong to one user and one hour; ranges cut them evenly all the same."""
     rows = history()
-    rows += [("hot", "2026-01-02T09:00:00+00:00", f"{random.Random(i).getrandbits(64):016x}", 1000 + i) for i in range(150)]
-    df = spark.createDataFrame(rows, SEQ)
-    crowded = busy_check(df, chunk_rows)
-    assert crowded is not None and crowded.count() > 0
-    assert collected(user_windows(df, crowded=crowded)) == loop_windows(rows)
-    assert busy_check(df, 10_000) is None
+    rows += [("hot", "2026-01-02T09:00:00+00:00", f"{random.Random(i).getrandbits(64):016x}", 1000 + i) for i in range(600)]
+    rows += [(None, "2026-01-02T09:00:00+00:00", f"{i:04d}", 5000 + i) for i in range(30)]
+    df = spark.createDataFrame(rows, SEQ).repartition(6)
+    want = loop_windows([(u or "", *rest) for u, *rest in rows])
+    assert collected(user_windows(df, ranges=ranges)) == want
+    sizes = [r["count"] for r in in_ranges(df, ["user_id", "occurred_at", "event_id"], ranges).groupBy("_part").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 2.5 * len(rows) / ranges
+
+
+def test_windows_of_nothing(spark):
+    assert user_windows(spark.createDataFrame([], SEQ)).collect() == []
 
 
 def test_windows_restart_per_split_and_continue_from_carry(spark):
@@ -72,8 +79,9 @@ def test_windows_restart_per_split_and_continue_from_carry(spark):
 def test_hot_user_is_spread_over_tasks(spark):
     df = spark.createDataFrame(history(2000, hot=0.9), SEQ)
     plan = user_windows(df)._jdf.queryExecution().executedPlan().toString()
-    # rows are shuffled by (user key, chunk), never by the user alone
-    assert re.search(r"hashpartitioning\(_key0#\d+, chunk#\d+", plan)
+    # rows are shuffled by (user key, range), never by the user alone; a carry row per
+    # user and range is
+    assert re.search(r"hashpartitioning\(_key0#\d+, _part#\d+", plan) and "SinglePartition" not in plan
 
 
 def test_padding_and_tensor(spark):
@@ -105,7 +113,7 @@ def test_keep_first_and_positions(spark):
     for i, k, _ in sorted(rows):
         first.setdefault(k, i)
     assert {r["id"] for r in ranks.keep_first(df, F.col("k"), "id").collect()} == set(first.values())
-    got = {r["id"]: r["position"] for r in ranks.with_position(df, "id", after=F.col("label"), bucket_rows=64).collect()}
+    got = {r["id"]: r["position"] for r in ranks.with_position(df, "id", after=F.col("label"), ranges=9).collect()}
     want = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))}
     assert got == want
 
@@ -129,6 +137,55 @@ def test_kth_value_balance_and_split(spark, spread):
         ranks.split_by_position(df.limit(3), "id", 0.2)
 
 
+@pytest.mark.parametrize("each", [False, True])
+def test_positions_of_sparse_values_and_hot_labels(spark, each):
+    """Order values far apart and one label with nearly all rows: no task numbers them alone."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(-(2**62), 2**62), rng.choice(["hot"] * 20 + ["a", "b", None])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, label string").repartition(5)
+    placed = ranks.with_position(df, "id", after=F.col("label"), each=each, ranges=12)
+    want, seen = {}, Counter()
+    for n, (i, label) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))):
+        want[i] = seen[label] if each else n
+        seen[label] += 1
+    assert {r["id"]: r["position"] for r in placed.collect()} == want
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert ranks.with_position(df.limit(0), "id").count() == 0
+
+
+def test_running_sums_equal_a_loop(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("aaaaab"), i, rng.randrange(-9, 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, i bigint, x bigint").withColumn("d", F.col("x").cast("decimal(19,0)"))
+    for group in ([], ["g"]):
+        want, total = {}, Counter()
+        for g, i, x in sorted(rows, key=lambda r: r[1]):
+            want[i] = total[g if group else ""]
+            total[g if group else ""] += x
+        got = running_sums(df, ["i"], {"s": "x", "t": "d"}, group=group, ranges=7).collect()
+        assert {r["i"]: r["s"] for r in got} == want == {r["i"]: int(r["t"]) for r in got}
+
+
+def test_texts_stay_where_they_are(spark):
+    """Neither dedup nor leakage removal shuffles a text while the list of losers is short."""
+    rows = [(i, f"text number {i % 40} of many", f"lang{i % 3}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "id bigint, text string, lang string")
+    seen = spark.createDataFrame([(1,)], "n int").select(corpus.opening_signature(F.lit("text number 3 of many")).alias("signature"))
+    for kept, n in ((corpus.dedupe(docs, "id"), 40), (corpus.remove_seen(docs, seen, "id"), 292)):
+        assert kept.count() == n
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange hashpartitioning", plan) and "BroadcastHashJoin" in plan
+
+
+def test_long_lists_of_losers_are_shuffled(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i % 7}") for i in range(100)], "id bigint, text string")
+    monkeypatch.setattr(ranks, "BROADCAST_ROWS", 10)
+    kept = corpus.dedupe(docs, "id")
+    assert sorted(r["id"] for r in kept.collect()) == list(range(7))
+    assert "SortMergeJoin" in kept._jdf.queryExecution().executedPlan().toString()
+
+
 # --- document sets ------------------------------------------------------------------------------
 
 
@@ -184,6 +241,22 @@ def test_roc_auc(spark, decimals):
     assert evaluate.roc_auc(df, "iso", F.col("y")).first()[0] == pytest.approx(want, abs=1e-12)
 
 
+@pytest.mark.parametrize("scale", [1e6, -1e6, 1e-9])
+def test_roc_auc_of_any_range(spark, scale):
+    """Scores beyond [0, 1], negative ones, infinities and groups without a class."""
+    rng = random.Random(2)
+    rows = [("g", (rng.randrange(40) - 20) * scale, rng.random() < 0.4) for _ in range(300)]
+    rows += [("g", float("inf"), True), ("g", float("-inf"), False), ("g", None, True)]
+    rows += [(None, 1.0, True), (None, 1.0, False), ("one class", 0.5, True)]
+    df = spark.createDataFrame(rows, "g string, s double, y boolean")
+    got = {r["g"]: r["roc_auc"] for r in evaluate.roc_auc(df, "s", F.col("y"), by=["g"]).collect()}
+    pos = [s for g, s, y in rows if g == "g" and y and s is not None]
+    neg = [s for g, s, y in rows if g == "g" and not y]
+    want = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+    assert got == {"g": pytest.approx(want, abs=1e-12), None: 0.5, "one class": None}
+    assert evaluate.roc_auc(df.limit(0), "s", F.col("y")).first()["roc_auc"] is None
+
+
 @pytest.mark.parametrize("decimals", [2, 9])
 def test_sweep_equals_the_grid(spark, decimals):
     rows, df = scored(spark, n=120, decimals=decimals)
