@@ -196,9 +196,9 @@ def test_typed_read_reports_or_fails(spark, tmp_path):
 
 @pytest.mark.parametrize("merge_every", [1, 2, 50])
 def test_window_stream_carries_history(spark, tmp_path, monkeypatch, merge_every):
-    from gavel.streaming import windows
+    from gavel.streaming import carry, windows
 
-    monkeypatch.setattr(windows, "MERGE_EVERY", merge_every)
+    monkeypatch.setattr(carry, "MERGE_EVERY", merge_every)
     schema = "user_id string, event_id string, occurred_at string, code int"
     rows = [("hot" if i % 3 else f"u{i % 4}", f"{i:04d}", f"2026-01-05T{i // 10:02d}:{i % 10:02d}:00+00:00", i) for i in range(90)]
     state, out = str(tmp_path / "state"), str(tmp_path / "out")
