@@ -1,8 +1,8 @@
 """Rule engines over scored events.
 
 ``fire`` compiles a rule set into columns: one projection, no shuffle, no
-Python. ``fire_from_tables`` matches rules held as rows by joins, for rule sets
-too large to compile. ``first_match`` is the small built-in fallback set. All
+Python. ``fire_from_tables`` takes rules held as rows, for rule sets that are data or too
+large to compile. ``first_match`` is the small built-in fallback set. All
 three return the event columns plus ``action``, ``rule_ids``, ``explanation``.
 """
 
@@ -16,9 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel import constants as K
-from gavel.sources.rules import (
-    ALWAYS, AT_LEAST, REACHES, SCORE_KEYS, Rule, by_severity, conditions_table, rules_table,
-)
+from gavel.functions.plan import pin
+from gavel.sources.rules import AT_LEAST, AT_LEAST_OP, EQUALS_OP, SCORE_KEYS, Rule, by_severity, rule_rows
 
 
 def context() -> dict[str, Column]:
@@ -128,79 +127,83 @@ def first_match(events: DataFrame) -> DataFrame:
     )
 
 
-# Columns of an event that ``context`` reads.
-_LOOKED_AT = ["data_plane", "signals", "access"]
+# --- rules as rows ------------------------------------------------------------------------
 
+# All rules of a table travel as one value, so their number is checked.
+MAX_RULES = 10_000
 
-def context_rows(events: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
-    """What the rules look at, as rows: ``key`` column, ``key, token, number``.
 
-    One row per event and condition key in use, one more per threshold key, and
-    the one every event has.
-    """
-    ctx, nothing = context(), F.lit(None).cast("string")
-    used = dict.fromkeys(k for r in rules for k in r.when)
-
-    def entry(name: str, token: Column, number: Column) -> Column:
-        return F.struct(F.lit(name).alias("key"), token.alias("token"), number.cast("double").alias("number"))
-
-    entries = [entry(ALWAYS[0], F.lit(ALWAYS[1]), F.lit(None))]
-    for name in used:
-        if name.endswith(AT_LEAST):
-            plain = name.removesuffix(AT_LEAST)
-            entries.append(entry(plain, F.lit(REACHES), ctx.get(plain, nothing).try_cast("double")))
-        else:
-            kind = F.lit("number:" if name in SCORE_KEYS else "text:")
-            token = F.concat(kind, ctx.get(name, nothing).cast("string"))
-            entries.append(entry(name, F.coalesce(token, F.lit("null")), F.lit(None)))
-    return events.select(F.col(key), F.inline(F.array(*entries)))
-
-
-def matched_pairs(events: DataFrame, rules: list[Rule], key: str) -> DataFrame:
-    """``key, rule_id`` of every match, by relational division.
-
-    Conditions join on (key, token), with the comparison of a threshold as
-    residual; a rule matches an event when as many of its conditions were met as
-    it has. Counting starts map-side: the rows of one event are produced, joined
-    and pre-aggregated in the same task.
+def rule_index(rules: DataFrame, conditions: DataFrame) -> DataFrame:
+    """One row, ``rules``: every rule with its conditions, most restrictive first.
+
+    ``rules`` has ``rule_key, rule_id, action, explanation, position`` (keys and positions
+    unique), ``conditions`` has ``rule_key, key, op, value_str, value_num`` as in
+    ``sources.rules.rule_rows``. An unknown action or more than ``MAX_RULES`` rules
+    fail the query that uses the index.
     """
-    conditions = conditions_table(events.sparkSession, rules)
-    met = context_rows(events, key, rules).join(conditions, ["key", "token"]).filter(
-        F.col("at_least").isNull() | (F.col("number") >= F.col("at_least"))
+    keys = F.array(*map(F.lit, context()))
+    token = F.coalesce(
+        F.concat(F.lit("text:"), F.col("value_str")),
+        F.concat(F.lit("number:"), F.col("value_num").cast("string")),
+        F.lit("null"),
     )
-    return (
-        met.groupBy(key, "rule_id", "n_conditions")
-        .agg(F.count("*").alias("met"))
-        .filter(F.col("met") == F.col("n_conditions"))
-        .select(key, "rule_id")
+    is_floor = F.col("op") == AT_LEAST_OP
+    tests = conditions.groupBy("rule_key", "key", is_floor.alias("is_floor")).agg(
+        F.max(F.when(is_floor, F.coalesce("value_num", F.lit(float("inf"))))).alias("floor"),
+        F.collect_set(F.when(F.col("op") == EQUALS_OP, token)).alias("tokens"),
+    )
+    at = (F.array_position(keys, F.col("key")) - 1).cast("int").alias("at")  # -1: no event has it
+    grouped = tests.groupBy("rule_key").agg(F.collect_list(F.struct(at, "floor", "tokens")).alias("tests"))
+    severity = F.lit(None).cast("int")
+    for action, rank in K.SEVERITY.items():
+        severity = F.when(F.col("action") == action, F.lit(rank)).otherwise(severity)
+    wrong = F.raise_error(F.format_string("rule %s has invalid action %s", "rule_id", "action")).cast("int")
+    ordered = F.struct(
+        (-F.coalesce(severity, wrong)).alias("order"), "position", "rule_id", "action", "explanation",
+        F.coalesce("tests", F.array().cast(grouped.schema["tests"].dataType)).alias("tests"),
     )
+    many = F.raise_error(F.lit(f"more than {MAX_RULES} rules")).cast("boolean")
+    all_rules = F.array_sort(F.collect_list(ordered))
+    few = F.when(F.count("*") <= MAX_RULES, F.lit(True)).otherwise(many)
+    return rules.join(grouped, "rule_key", "left").agg(F.when(few, all_rules).alias("rules"))
 
 
-def fire_from_tables(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The event columns with ``action, rule_ids, explanation`` from rules held as rows.
+def _looks(tokens: Column, numbers: Column, test: Column) -> Column:
+    """Does an event's context meet one condition?"""
+    token = F.coalesce(F.get(tokens, test["at"]), F.lit("null"))
+    reaches = F.coalesce(F.get(numbers, test["at"]) >= test["floor"], F.lit(False))
+    return F.when(test["floor"].isNotNull(), reaches).otherwise(F.array_contains(test["tokens"], token))
 
-    Rules see an event's context only, so each distinct context is matched once and the
-    outcome joined back: nothing need be unique in the events, and every one is kept. The
-    built-in default takes part as a rule of lowest rank that always matches.
+
+def fire_from_tables(events: DataFrame, rules: Iterable[Rule] | tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The event columns with ``action, rule_ids, explanation`` from rules held as rows: a
+    list of rules, or the two tables ``rule_index`` takes.
+
+    The rules reach every task as one array and each event filters it: nothing is
+    exploded, joined or shuffled, and every event is kept, repeated ids included.
     """
-    default = Rule(K.DEFAULT_RULE_ID, "allow", explanation=K.DEFAULT_EXPLANATION)
-    last = F.lit(len(rules))
-    table = rules_table(events.sparkSession, rules).unionByName(
-        rules_table(events.sparkSession, [default]).withColumn("rank", last)
-    )
-    seen = F.struct(*[c.alias(name) for name, c in context().items()])
-    marked = events.withColumn("_context", F.sha2(F.to_json(seen, {"ignoreNullFields": "false"}), 256))
-    distinct = marked.select("_context", *_LOOKED_AT).dropDuplicates(["_context"])
-    fired = matched_pairs(distinct, [*rules, default], "_context").join(table, "rule_id")
-    hit = F.struct("rank", "rule_id", "action", "explanation")
-    grouped = fired.groupBy("_context").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-    real = F.filter("hits", lambda h: h.rank < last)
-    kept = grouped.select("_context", F.when(F.size(real) > 0, real).otherwise(F.col("hits")).alias("hits"))
-    said = F.array_join(F.filter(F.col("hits.explanation"), lambda e: e != ""), " ")
-    outcome = kept.select(
-        "_context",
-        F.col("hits.action")[0].alias("action"),
-        F.array_distinct("hits.rule_id").alias("rule_ids"),
-        F.when(said != "", said).alias("explanation"),
+    tables = rules if isinstance(rules, tuple) else rule_rows(events.sparkSession, rules)
+    index = rule_index(*tables)
+    ctx = context()
+    tokens = [
+        F.coalesce(F.concat(F.lit("number:" if name in SCORE_KEYS else "text:"), c.cast("string")), F.lit("null"))
+        for name, c in ctx.items()
+    ]
+    seen = events.withColumns(
+        {"_tokens": F.array(*tokens), "_numbers": F.array(*[c.try_cast("double") for c in ctx.values()])}
     )
-    return marked.join(outcome, "_context").drop("_context")
+    # pinned: a lambda would work out what it refers to for every rule, and every column
+    # that refers to the hits would look for them again
+    seen = pin(seen, "_tokens", "_numbers")
+    hits = F.filter("_rules", lambda r: F.forall(r["tests"], lambda t: _looks(F.col("_tokens"), F.col("_numbers"), t)))
+    fired = seen.withColumn("_rules", index.scalar()).withColumn("_hits", hits)
+    found = pin(fired.drop("_tokens", "_numbers", "_rules"), "_hits")
+    said = F.array_join(F.filter(F.col("_hits.explanation"), lambda e: e != ""), " ")
+    none = F.size("_hits") == 0
+    return found.withColumns(
+        {
+            "action": F.when(none, F.lit("allow")).otherwise(F.get(F.col("_hits.action"), 0)),
+            "rule_ids": F.when(none, F.array(F.lit(K.DEFAULT_RULE_ID))).otherwise(F.array_distinct("_hits.rule_id")),
+            "explanation": F.when(none, F.lit(K.DEFAULT_EXPLANATION)).otherwise(F.when(said != "", said)),
+        }
+    ).drop("_hits")

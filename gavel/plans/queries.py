@@ -210,7 +210,7 @@ def fallback_decisions(spark, d):
 
 
 def rule_rows_decisions(spark, d):
-    """Rules held as rows, matched by joins."""
+    """Rules held as rows."""
     scored = decide.with_signals(decide.heuristic_scorer()(CLASSIFIER(B.canonical_events(spark, d))))
     return rules.fire_from_tables(scored, shipped_rules()).select("event_id", *rule_columns())
 

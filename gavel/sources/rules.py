@@ -86,52 +86,37 @@ def references_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     return local_table(spark, rows, "rule_id string, reference string")
 
 
-def rules_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
-    """``rule_id, action, severity, rank, explanation``; rank is the order of firing."""
-    rows = [
-        (r.id, r.action, r.severity, i, r.explanation or "") for i, r in enumerate(by_severity(rules))
-    ]
-    return local_table(
-        spark, rows, "rule_id string, action string, severity int, rank int, explanation string"
-    )
+# How a condition row is met: the value is one of the rows' values; it is at least the
+# number; never.
+EQUALS_OP, AT_LEAST_OP, NEVER_OP = "eq", "gte", "never"
 
 
 def _is_number(value: Any) -> bool:
     return isinstance(value, (bool, int, float))
 
 
-def _token(value: Any) -> str | None:
-    """One text per comparable value, so that equality needs one join key. Spark
-    prints the numbers itself, on both sides of the join."""
-    if value is None:
-        return "null"
-    return None if _is_number(value) else f"text:{value}"
-
-
-ALWAYS = ("*", "text:*")
-REACHES = ">="  # token of threshold conditions
-
-
-def conditions_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
-    """Rules as rows: ``rule_id, key, token, at_least, n_conditions``.
+def rule_rows(spark: SparkSession, rules: Iterable[Rule]) -> tuple[DataFrame, DataFrame]:
+    """Rules as two tables: ``rule_key, rule_id, action, explanation, position`` and
+    ``rule_key, key, op, value_str, value_num``.
 
-    A list contributes one row per value, of which an event can match one; a
-    threshold has its own token and ``at_least``; a rule without conditions gets the
-    one condition every event meets.
+    A list gives a row per value, an event being able to match one of them; a row without
+    either value stands for null. A rule without condition rows always matches.
     """
-    rows: list[tuple] = []
-    for rule in rules:
-        n = len(rule.when) or 1
-        for key, expected in (rule.when or {ALWAYS[0]: "*"}).items():
+    heads, tests = [], []
+    for position, rule in enumerate(rules):
+        name = str(position)
+        heads.append((name, rule.id, rule.action, rule.explanation, position))
+        for key, expected in rule.when.items():
             if key.endswith(AT_LEAST):
-                rows.append((rule.id, key.removesuffix(AT_LEAST), REACHES, None, float(expected), n))
+                tests.append((name, key.removesuffix(AT_LEAST), AT_LEAST_OP, None, float(expected)))
                 continue
             values = expected if isinstance(expected, list) else [expected]
-            pairs = dict.fromkeys((_token(v), float(v) if _is_number(v) else None) for v in values)
-            rows += [(rule.id, key, token, number, None, n) for token, number in pairs]
-    table = local_table(
-        spark, rows,
-        "rule_id string, key string, token string, number double, at_least double, n_conditions bigint",
+            if not values:
+                tests.append((name, key, NEVER_OP, None, None))
+            for v in values:
+                text = None if v is None or _is_number(v) else str(v)
+                tests.append((name, key, EQUALS_OP, text, float(v) if _is_number(v) else None))
+    return (
+        local_table(spark, heads, "rule_key string, rule_id string, action string, explanation string, position int"),
+        local_table(spark, tests, "rule_key string, key string, op string, value_str string, value_num double"),
     )
-    printed = F.concat(F.lit("number:"), F.col("number").cast("string"))
-    return table.withColumn("token", F.coalesce("token", printed)).drop("number")

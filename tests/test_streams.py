@@ -99,7 +99,7 @@ def batch_of(spark, tmp_path, name, rows):
 
 
 def ids(n, first=0):
-    return [access(event_id=f"1cba5a7c-7fe3-4f3b-b2d0-{i:012d}") for i in range(first, first + n)]
+    return [access(event_id=f"0f1e2d3c-4b5a-4978-8695-{i:012d}") for i in range(first, first + n)]
 
 
 def test_store_and_ledger_agree(spark, tmp_path):
