@@ -36,7 +36,7 @@ def without(df: DataFrame, losers: DataFrame, order: str) -> DataFrame:
     """The rows of ``df`` whose ``order`` is not among ``losers``.
 
     A list of at most ``BROADCAST_ROWS`` (counted) goes to every task and the rows stay
-    where they are; a longer one meets them by a shuffle on ``order``, which is never hot.
+    where they are; a longer one meets them by a shuffle on ``order``.
     """
     listed = cut_lineage(losers)
     small = listed.count() <= BROADCAST_ROWS

@@ -14,7 +14,9 @@ def _read_or_empty(spark: SparkSession, path: str, schema, kind: str) -> DataFra
     try:
         reader = spark.read.schema(schema).format(kind)
         # a malformed line is an error, not a decision without fields
-        return (reader.option("mode", "FAILFAST") if kind == "json" else reader).load(path)
+        if kind == "json":
+            reader = reader.option("mode", "FAILFAST").option("recursiveFileLookup", "true")
+        return reader.load(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -22,7 +24,7 @@ def _read_or_empty(spark: SparkSession, path: str, schema, kind: str) -> DataFra
 
 
 def load_decisions(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
-    """The decision store; a store that does not exist yet is an empty table."""
+    """The decision store with all its parts; a store that does not exist yet is an empty table."""
     return _read_or_empty(spark, path, S.DECISION, kind)
 
 
@@ -72,6 +74,11 @@ def append_json(df: DataFrame, path: str) -> None:
     sorted_columns(df).write.mode("append").option("ignoreNullFields", "true").json(path)
 
 
+def put_json(df: DataFrame, path: str, part: str) -> None:
+    """The same lines as one named part of a store; putting a part again replaces it."""
+    sorted_columns(df).write.mode("overwrite").option("ignoreNullFields", "true").json(f"{path}/part={part}")
+
+
 def append_parquet(decisions: DataFrame, path: str) -> None:
     """Append to a decision store laid out for pruning by plane and day."""
     from gavel.operators.decide import plane_of
@@ -95,26 +102,40 @@ def write_text(lines: DataFrame, path: str) -> None:
 # --- runs ----------------------------------------------------------------------------------
 
 
-def save_run(results: DataFrame, path: str, created_at: str) -> None:
-    """Append the results of one run and then its manifest row.
+def save_run(results: DataFrame, path: str, run_id: str, created_at: str, decisions_path: str | None = None) -> None:
+    """Write one run: its results, its part of the decision store, then its manifest.
 
-    The manifest is written last: a run is visible only when its results are.
+    Each is a folder of the run's own, which a retry replaces, so a run that is repeated
+    adds nothing. The manifest comes last: a run counts when it has one, an empty run
+    included. ``results`` are worked out once; all else is read back.
     """
     from gavel.operators.metrics import run_summary
 
     spark = results.sparkSession
-    results.select(*S.RUN_RESULT.fieldNames()).write.mode("append").partitionBy("run_id").parquet(f"{path}/results")
-    stored = spark.read.schema(S.RUN_RESULT).parquet(f"{path}/results")
-    ids = results.select("run_id").limit(1).collect()
-    if ids:
-        summary = run_summary(stored.filter(F.col("run_id") == ids[0][0]))
-        summary.withColumn("created_at", F.lit(created_at)).select(*S.RUN.fieldNames()).coalesce(1).write.mode(
-            "append"
-        ).parquet(f"{path}/runs")
+    names = [n for n in S.RUN_RESULT.fieldNames() if n != "run_id"]
+    schema = T.StructType([S.RUN_RESULT[n] for n in names])
+    folder = f"{path}/results/run_id={run_id}"
+    results.select(*names).write.mode("overwrite").parquet(folder)
+    stored = spark.read.schema(schema).parquet(folder)
+    if decisions_path:
+        put_json(stored.filter(F.col("decision").isNotNull()).select("decision.*"), decisions_path, run_id)
+    counted = run_summary(stored.withColumn("run_id", F.lit(run_id)))
+    counts = counted.first()  # one row, or none for an empty run
+    done, failed = (counts["processed"], counts["errors"]) if counts else (0, 0)
+    manifest = spark.range(1).select(
+        F.lit(created_at).alias("created_at"), F.lit(done).cast("bigint").alias("processed"), F.lit(failed).cast("bigint").alias("errors")
+    )
+    manifest.write.mode("overwrite").parquet(f"{path}/runs/run_id={run_id}")
+
+
+# run ids are text, also where they look like numbers
+def _of_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    ordered = T.StructType([*[f for f in schema.fields if f.name != "run_id"], schema["run_id"]])
+    return _read_or_empty(spark, path, ordered, "parquet").select(*schema.fieldNames())
 
 
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
-    return _read_or_empty(spark, f"{path}/runs", S.RUN, "parquet")
+    return _of_runs(spark, f"{path}/runs", S.RUN)
 
 
 def load_run(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame | None:
@@ -124,5 +145,4 @@ def load_run(spark: SparkSession, path: str, run_id: str | None = None) -> DataF
         run_id = runs.agg(F.max("run_id")).first()[0]
     if run_id is None or not runs.filter(F.col("run_id") == run_id).limit(1).count():
         return None
-    results = spark.read.schema(S.RUN_RESULT).parquet(f"{path}/results")
-    return results.filter(F.col("run_id") == run_id)
+    return _of_runs(spark, f"{path}/results", S.RUN_RESULT).filter(F.col("run_id") == run_id)

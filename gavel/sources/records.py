@@ -101,11 +101,23 @@ def read_typed_jsonl(spark: SparkSession, path: str, schema, fail_fast: bool = F
     return reader.json(path)
 
 
-def read_text_documents(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
+def list_files(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
+    """``source_file, filename, size`` of every file; no content is read."""
+    files = (
+        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    )
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.col("path").alias("source_file"), name.alias("filename"), F.col("length").alias("size"))
+
+
+def read_text_documents(
+    spark: SparkSession, path: str | list[str], glob: str = "*", without: tuple[str, ...] = ()
+) -> DataFrame:
     """One content document per file: its name and its stripped text.
 
     Bytes that are not UTF-8 become replacement characters. Files left empty
-    carry no record and appear with ``text`` null, for the caller to report.
+    carry no record and appear with ``text`` null, for the caller to report. Files whose
+    name ends like one of ``without``, in any case, are not opened.
     """
     files = (
         spark.read.format("binaryFile")
@@ -113,6 +125,8 @@ def read_text_documents(spark: SparkSession, path: str | list[str], glob: str =
         .option("recursiveFileLookup", "true")
         .load(path)
     )
+    for suffix in without:  # a filter on the name is met while files are listed
+        files = files.filter(~F.lower("_metadata.file_name").endswith(suffix))
     text = strip(F.make_valid_utf8(F.col("content").cast("string")))
     return files.select(
         F.col("path").alias("source_file"),
@@ -123,12 +137,9 @@ def read_text_documents(spark: SparkSession, path: str | list[str], glob: str =
 
 def list_keys(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """Object keys under ``root`` that start with ``prefix``, sorted."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    )
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    key = F.element_at(F.split("path", f"\\Q{base}/\\E", 2), -1)
-    return files.select(key.alias("key")).filter(F.col("key").startswith(prefix)).orderBy("key")
+    key = F.element_at(F.split("source_file", f"\\Q{base}/\\E", 2), -1)
+    return list_files(spark, root).select(key.alias("key")).filter(F.col("key").startswith(prefix)).orderBy("key")
 
 
 def infer_plane(fields: JsonFields | ColumnFields) -> Column:

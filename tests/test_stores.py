@@ -12,7 +12,7 @@ from gavel.operators.models import with_code
 from gavel.operators.sequences import user_windows
 from gavel.plans.upload import run_upload
 from gavel.sources import decisions as D
-from gavel.sources.records import list_keys, read_jsonl, read_text_documents, read_typed_jsonl, with_declared_plane
+from gavel.sources.records import list_files, list_keys, read_jsonl, read_text_documents, read_typed_jsonl, with_declared_plane
 from gavel.streaming.buffer import streaming_windows
 from gavel.streaming.ingest import govern_batch, start_ingest
 from gavel.streaming.live import decision_stream, live_actions
@@ -135,6 +135,64 @@ def test_upload_run(spark, tmp_path):
     assert {r["action"]: r["n"] for r in spark.sql("select * from live").collect()} == {"allow": 2, "block": 2, "flag": 2}
 
 
+def tiny_run(spark, tmp_path, created_at="2026-08-01T10:00:00+00:00", src="in"):
+    return run_upload(
+        spark, str(tmp_path / src), decisions_path=str(tmp_path / "d"), runs_path=str(tmp_path / "r"), created_at=created_at
+    )
+
+
+@pytest.mark.parametrize("stop", ["put_json", "manifest", None])
+def test_a_repeated_run_adds_nothing(spark, tmp_path, monkeypatch, stop):
+    """A run that stopped before its manifest does not count; repeating it completes it."""
+    put(tmp_path / "in/a.jsonl", [access(), access(action="delete"), "", access(action="<absent>")])
+    with monkeypatch.context() as broken:
+        if stop == "put_json":
+            broken.setattr(D, "put_json", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        if stop == "manifest":
+            broken.setattr(metrics, "run_summary", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        if stop:
+            with pytest.raises(RuntimeError, match="stopped"):
+                tiny_run(spark, tmp_path)
+            assert D.load_run(spark, str(tmp_path / "r")) is None
+    first = tiny_run(spark, tmp_path)
+    assert tiny_run(spark, tmp_path) == first
+    assert D.load_decisions(spark, str(tmp_path / "d")).count() == 2
+    (row,) = D.load_runs(spark, str(tmp_path / "r")).collect()
+    assert (row["run_id"], row["processed"], row["errors"]) == (first, 2, 1)
+    assert D.load_run(spark, str(tmp_path / "r"), first).count() == 3
+
+
+def test_an_empty_run_has_a_manifest(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    run = tiny_run(spark, tmp_path)
+    (row,) = D.load_runs(spark, str(tmp_path / "r")).collect()
+    assert (row["run_id"], row["processed"], row["errors"]) == (run, 0, 0)
+    assert D.load_run(spark, str(tmp_path / "r")).count() == 0
+
+
+def test_json_lines_are_read_by_splits(spark, tmp_path):
+    """One file of many lines is many tasks, and no reader opens it as one value."""
+    from gavel.plans.upload import upload_events
+
+    put(tmp_path / "in/big.jsonl", [access(resource_id=f"sales-financial-{i:05d}") for i in range(4000)])
+    put(tmp_path / "in/note.txt", ["Our policy."])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        assert read_jsonl(spark, str(tmp_path / "in")).rdd.getNumPartitions() > 4
+        events, problems = upload_events(spark, str(tmp_path / "in"), NOW)
+        assert events.count() == 4001 and problems.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    texts = read_text_documents(spark, str(tmp_path / "in"), without=(".jsonl",))
+    files = texts._jdf.queryExecution().executedPlan().toString()
+    assert [r["document_id"] for r in texts.collect()] == ["note.txt"]
+    assert "file_name" in files and texts.rdd.getNumPartitions() == 1
+    listing = list_files(spark, str(tmp_path / "in"))
+    assert "content" not in listing._jdf.queryExecution().executedPlan().toString()
+    assert {r["filename"] for r in listing.collect()} == {"big.jsonl", "note.txt"}
+
+
 # --- streams -----------------------------------------------------------------------------------------------
 
 
