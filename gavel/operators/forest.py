@@ -1,21 +1,22 @@
 """Isolation forest on Spark (Liu, Ting and Zhou, 2008).
 
-Trees are grown independently, one small group per tree, from hash-chosen
-samples of at most 256 rows. The features of an access event take 193,536
-different values in all, so the fitted forest is also tabulated once over every
-feature code; scoring a table is then a join with that bounded lookup instead
-of a walk through 200 trees per row.
+Trees are grown independently, one small group per tree, from samples of at most 256
+rows; every choice is drawn from a digest of names (row, tree, node), so a forest can be
+recomputed anywhere. The features of an access event take 193,536 different values in all:
+scoring a table is a join with the raw scores of its distinct codes instead of a walk
+through 200 trees per row, and a saved forest has the scores of all codes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,12 +48,22 @@ def average_path(n: int) -> float:
     return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def _grow(points: np.ndarray, rng: np.random.Generator) -> list[list[float]]:
-    """One tree as rows of (node, feature, cut, left, right, length)."""
-    limit = math.ceil(math.log2(max(len(points), 2)))
+def draw(*parts) -> int:
+    """A number below 2^32 that ``parts`` decide; ``draw_of`` gives the same in a query."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+def draw_of(*parts) -> Column:
+    texts = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *texts)), 1, 8), 16, 10).cast("bigint")
+
+
+def _grow(points: np.ndarray, seed: int, tree: int) -> list[list[float]]:
+    """One tree as rows of (node, feature, cut, left, right, length). The children of node
+    n are 2n + 1 and 2n + 2; feature and cut are drawn from the node's own name."""
+    limit = (max(len(points), 2) - 1).bit_length()
     rows: list[list[float]] = []
     pending = [(points, 0, 0)]
-    issued = 1
     while pending:
         part, depth, node = pending.pop()
         low, high = part.min(axis=0), part.max(axis=0)
@@ -60,12 +71,12 @@ def _grow(points: np.ndarray, rng: np.random.Generator) -> list[list[float]]:
         if depth >= limit or len(part) <= 1 or len(varied) == 0:
             rows.append([node, -1, 0.0, -1, -1, depth + average_path(len(part))])
             continue
-        feature = int(rng.choice(varied))
-        cut = float(rng.uniform(low[feature], high[feature]))
+        feature = int(varied[draw(seed, tree, node, "feature") % len(varied)])
+        cut = float(low[feature] + (high[feature] - low[feature]) * (draw(seed, tree, node, "cut") / 2.0**32))
         goes_left = part[:, feature] <= cut
-        rows.append([node, feature, cut, issued, issued + 1, 0.0])
-        pending += [(part[goes_left], depth + 1, issued), (part[~goes_left], depth + 1, issued + 1)]
-        issued += 2
+        left, right = 2 * node + 1, 2 * node + 2
+        rows.append([node, feature, cut, left, right, 0.0])
+        pending += [(part[goes_left], depth + 1, left), (part[~goes_left], depth + 1, right)]
     return rows
 
 
@@ -108,9 +119,9 @@ class _Stack:
 def tree_samples(
     df: DataFrame, code: str, row_id: str, *, trees: int, sample: int, seed: int
 ) -> DataFrame:
-    """``tree, code`` with about ``sample`` rows for every tree.
+    """``tree, code, row_id`` with about ``sample`` rows for every tree.
 
-    A hash of the row id decides which trees a row joins, so the choice repeats
+    Draws from the row id decide which trees a row joins, so the choice repeats
     on retry. Above trees x sample rows only a fraction of the table leaves the
     scan; below it a row serves several trees, never twice the same one.
     """
@@ -118,17 +129,16 @@ def tree_samples(
     wanted = math.ceil(1.3 * sample)  # head room: group sizes vary
     share = min(1.0, trees * wanted / max(n, 1))
     copies = min(trees, max(1, math.ceil(trees * wanted / max(n, 1))))
-    h = F.xxhash64(F.col(row_id), F.lit(seed))
-    picked = df.filter(F.pmod(h, F.lit(1_000_000)) < math.ceil(share * 1_000_000))
-    first = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed + 1)), F.lit(trees))
+    row = F.col(row_id)
+    picked = df.filter(draw_of(seed, row) % 1_000_000 < math.ceil(share * 1_000_000)) if share < 1 else df
     # every row steps through the trees at its own stride, so that no two trees share more
     # rows than chance has them share; strides without a common divisor never come back early
     strides = [s for s in range(1, trees + 1) if math.gcd(s, trees) == 1]
-    turn = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed + 2)), F.lit(len(strides)))
+    turn = draw_of(seed + 2, row) % len(strides)
     stride = F.element_at(F.array(*map(F.lit, strides)), turn.cast("int") + 1)
     return picked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), first.alias("first"), stride.alias("stride"),
-        F.col(code).alias("code"), F.col(row_id).alias("row_id"),
+        F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), (draw_of(seed + 1, row) % trees).alias("first"),
+        stride.alias("stride"), F.col(code).alias("code"), row.alias("row_id"),
     ).select(
         F.pmod(F.col("first") + F.col("copy") * F.col("stride"), F.lit(trees)).cast("int").alias("tree"), "code", "row_id"
     )
@@ -141,12 +151,17 @@ class ForestModel:
     nodes: DataFrame
     low: float
     high: float
-    lookup: DataFrame  # code, raw: one row per feature code
+    lookup: DataFrame | None = None  # code, raw: one row per feature code
 
     def scores(self, df: DataFrame, code: str = "code", name: str = "isolation_forest_score") -> DataFrame:
-        """Adds the normalised score. The lookup has ``CODES`` rows, whatever ``df`` holds."""
+        """Adds the normalised score. A loaded model joins its table of all codes; a model
+        just fitted walks its trees for the codes that ``df`` holds, each once. Either way
+        there are at most ``CODES`` of them."""
+        lookup = self.lookup
+        if lookup is None:
+            lookup = walked(df.select(F.col(code).alias("code")).distinct(), self.nodes)
         table = F.broadcast(
-            self.lookup.select(
+            lookup.select(
                 F.col("code").alias(code), min_max(F.col("raw"), self.low, self.high).alias(name)
             )
         )
@@ -155,7 +170,8 @@ class ForestModel:
     def save(self, path: str) -> None:
         spark = self.nodes.sparkSession
         self.nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-        self.lookup.coalesce(1).write.mode("overwrite").parquet(f"{path}/lookup")
+        lookup = score_lookup(spark, self.nodes) if self.lookup is None else self.lookup
+        lookup.coalesce(1).write.mode("overwrite").parquet(f"{path}/lookup")
         spark.createDataFrame([(self.low, self.high)], "low double, high double").coalesce(1).write.mode(
             "overwrite"
         ).parquet(f"{path}/range")
@@ -177,12 +193,11 @@ def fit_trees(
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
-        group = group.sort_values("row_id")  # arrival order differs between runs
         if len(group) > sample:
-            group = group.iloc[np.sort(rng.permutation(len(group))[:sample])]
+            group = group.assign(rank=[draw(seed + 3, tree, row) for row in group["row_id"]])
+            group = group.sort_values(["rank", "row_id"]).iloc[:sample]
         points = np.stack(group["vector"].to_numpy()).astype(np.float64)
-        out = pd.DataFrame(_grow(points, rng), columns=["node", "feature", "cut", "left", "right", "length"])
+        out = pd.DataFrame(_grow(points, seed, tree), columns=["node", "feature", "cut", "left", "right", "length"])
         out.insert(0, "tree", tree)
         out["sample"] = len(points)
         kinds = {f.name: "float64" if f.dataType == T.DoubleType() else "int32" for f in NODE.fields}
@@ -208,24 +223,26 @@ def raw_scores(vectors: DataFrame, nodes: DataFrame, vector: str = "vector", nam
     return vectors.withColumn(name, walk(F.col(vector)))
 
 
-def score_lookup(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """``code, raw`` for every feature code there can be."""
-    codes = spark.range(CODES).select(F.col("id").cast("int").alias("code"))
+def walked(codes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``code, raw`` of the given codes."""
     scored = raw_scores(codes.withColumn("vector", vector_of_code(F.col("code"))), nodes)
     return scored.select("code", "raw")
 
 
+def score_lookup(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """``code, raw`` for every feature code there can be."""
+    return walked(spark.range(CODES).select(F.col("id").cast("int").alias("code")), nodes)
+
+
 def fit_forest(df: DataFrame, **options) -> ForestModel:
     """Fit on the rows of ``df`` (``code``, ``event_id``).
 
-    Trees and lookup are bounded (trees x 511 and ``CODES`` rows) and written to
-    the checkpoint folder, so later plans never regrow a tree. Save the model to
-    keep it longer than that folder.
+    Trees are bounded (trees x 511 nodes) and written to the checkpoint folder, so later
+    plans never regrow one. Save the model to keep it longer than that folder; a saved
+    model also has the raw scores of all ``CODES`` codes.
     """
-    spark = df.sparkSession
     code = options.get("code", "code")
     nodes = cut_lineage(fit_trees(df, **options))
-    lookup = cut_lineage(score_lookup(spark, nodes))
     seen = df.select(F.col(code).alias("code")).distinct()
-    low, high = seen.join(F.broadcast(lookup), "code").agg(F.min("raw"), F.max("raw")).first()
-    return ForestModel(nodes, low, high, lookup)
+    low, high = walked(seen, nodes).agg(F.min("raw"), F.max("raw")).first()
+    return ForestModel(nodes, low, high)

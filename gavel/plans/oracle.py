@@ -291,6 +291,93 @@ rep AS (
   FROM prf GROUP BY model)"""
 
 
+# --- isolation forest ---------------------------------------------------------------------------------
+
+TREES, SAMPLE, SEED, DEPTH = 200, 256, 740, 8
+WANTED = 333  # rows offered to a tree
+
+
+def drawn(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8) AS BIGINT)"
+
+
+def digit(below: int, radix: int) -> str:
+    return f"(code // {below}) % {radix}"
+
+
+# a code's digits, as positions in vocabularies (0: not in it), the hour and three flags
+A, R, D, C, H = digit(24192, 8), digit(8064, 3), digit(1152, 7), digit(192, 6), digit(8, 24)
+FEATURES = ", ".join(
+    [f"CASE WHEN {p} = {i} THEN 1 ELSE 0 END" for p, n in ((A, 7), (R, 2), (D, 6), (C, 5)) for i in range(1, n + 1)]
+    + [f"{H} / 23e0", f"CASE WHEN {H} < 6 OR {H} >= 22 THEN 1 ELSE 0 END", digit(4, 2), digit(2, 2), digit(1, 2)]
+)
+
+
+def average(n: str) -> str:
+    """Mean path length of an unsuccessful search among ``n`` points."""
+    harmonic = f"2e0 * (ln({n} - 1e0) + 0.5772156649015329e0)"
+    return f"CASE WHEN {n} <= 1 THEN 0e0 WHEN {n} = 2 THEN 1e0 ELSE {harmonic} - 2e0 * ({n} - 1e0) / {n} END"
+
+
+def grown() -> str:
+    """Trees level by level: every node's range of values, its drawn feature and cut."""
+    levels = []
+    for depth in range(DEPTH + 1):
+        levels.append(f"""
+range{depth} AS (
+  SELECT tree, node, i, min(x) AS low, max(x) AS high, count(*) AS n FROM at{depth} JOIN vec USING (code) GROUP BY ALL),
+cut{depth} AS MATERIALIZED (
+  SELECT *, CASE WHEN feature >= 0 THEN lows[feature + 1] + (highs[feature + 1] - lows[feature + 1])
+      * ({drawn(str(SEED), 'tree', 'node', "'cut'")} / 4294967296e0) ELSE 0e0 END AS cut
+  FROM (SELECT tree, node, n, lows, highs, CASE WHEN {depth} >= most OR n <= 1 OR coalesce(len(varied), 0) = 0 THEN -1
+      ELSE varied[{drawn(str(SEED), 'tree', 'node', "'feature'")} % len(varied) + 1] END AS feature
+    FROM (SELECT tree, node, max(n) AS n, list(low ORDER BY i) AS lows, list(high ORDER BY i) AS highs,
+        list(i ORDER BY i) FILTER (high > low) AS varied FROM range{depth} GROUP BY ALL) JOIN sizes USING (tree))),
+at{depth + 1} AS MATERIALIZED (
+  SELECT tree, code, 2 * node + CASE WHEN x <= cut THEN 1 ELSE 2 END AS node
+  FROM at{depth} JOIN cut{depth} USING (tree, node) JOIN vec USING (code) WHERE i = feature)""")
+    all_nodes = " UNION ALL ".join(f"SELECT {d} AS depth, * FROM cut{d}" for d in range(DEPTH + 1))
+    return ",".join(levels) + f""",
+nodes AS MATERIALIZED (
+  SELECT tree, node, feature, cut, CASE WHEN feature < 0 THEN -1 ELSE 2 * node + 1 END AS "left",
+    CASE WHEN feature < 0 THEN -1 ELSE 2 * node + 2 END AS "right",
+    CASE WHEN feature < 0 THEN depth + ({average('n')}) ELSE 0e0 END AS length, sample
+  FROM ({all_nodes}) JOIN sizes USING (tree))"""
+
+
+def walks() -> str:
+    steps = ["""
+walk0 AS (SELECT code, tree, 0 AS node FROM (SELECT DISTINCT code FROM parts), (SELECT DISTINCT tree FROM sizes))"""]
+    for depth in range(DEPTH):
+        steps.append(f"""
+walk{depth + 1} AS (
+  SELECT code, tree, CASE WHEN feature < 0 THEN node WHEN x <= cut THEN "left" ELSE "right" END AS node
+  FROM walk{depth} JOIN nodes USING (tree, node) LEFT JOIN vec ON vec.code = walk{depth}.code AND vec.i = feature)""".replace(
+            "SELECT code, tree,", f"SELECT walk{depth}.code, tree,"
+        ))
+    return ",".join(steps)
+
+
+FOREST = f"""
+parts AS MATERIALIZED (
+  SELECT event_id, code, CASE WHEN rn > n - CAST(floor(n * 2e-1) AS BIGINT) THEN 'validation' ELSE 'fit' END AS split
+  FROM (SELECT *, row_number() OVER (ORDER BY seq) AS rn, count(*) OVER () AS n FROM code)),
+vec AS MATERIALIZED (
+  SELECT code, unnest(range(0, 25)) AS i, CAST(CAST(unnest([{FEATURES}]) AS FLOAT) AS DOUBLE) AS x FROM (SELECT DISTINCT code FROM parts)),
+fit AS (SELECT event_id AS rid, code, count(*) OVER () AS n FROM parts WHERE split = 'fit'),
+offered AS (
+  SELECT rid, code, ({drawn(str(SEED + 1), 'rid')} % {TREES} + copy
+      * list_filter(range(1, {TREES + 1}), lambda s: gcd(s, {TREES}) = 1)[{drawn(str(SEED + 2), 'rid')} % len(
+        list_filter(range(1, {TREES + 1}), lambda s: gcd(s, {TREES}) = 1)) + 1]) % {TREES} AS tree
+  FROM (SELECT *, unnest(range(0, least({TREES}, greatest(1, CAST(ceil({TREES * WANTED}e0 / n) AS BIGINT))))) AS copy FROM fit
+    WHERE n <= {TREES * WANTED} OR {drawn(str(SEED), 'rid')} % 1000000 < ceil({TREES * WANTED}e0 / n * 1000000))),
+at0 AS MATERIALIZED (
+  SELECT tree, code, 0 AS node FROM offered
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY {drawn(str(SEED + 3), 'tree', 'rid')}, rid) <= {SAMPLE}),
+sizes AS MATERIALIZED (
+  SELECT tree, count(*) AS sample, length(bin(greatest(count(*), 2) - 1)) AS most FROM at0 GROUP BY tree),{grown()}"""
+
+
 def oracle() -> dict[str, str]:
     access_cols = "event_id, user_id, role, department, resource_id, resource_class, action, source_ip, device_id, session_id"
     return {
@@ -459,6 +546,16 @@ def oracle() -> dict[str, str]:
             SELECT doc_id FROM signed WHERE signature NOT IN (SELECT signature FROM seen)""",
         "balanced_classes": """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents)
             SELECT doc_id, lang FROM r WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang))""",
+        "forest_nodes": f"""WITH {ACCESS}, {CODED}, {FOREST} SELECT CAST(tree AS INT) AS tree, CAST(node AS INT) AS node,
+              CAST(feature AS INT) AS feature, round(cut, 9) AS cut, CAST("left" AS INT) AS "left",
+              CAST("right" AS INT) AS "right", round(length, 9) AS length, CAST(sample AS INT) AS sample FROM nodes""",
+        "forest_scores": f"""WITH {ACCESS}, {CODED}, {FOREST}, {walks()},
+            raw AS (
+              SELECT code, pow(2e0, -avg(length) / (SELECT {average('max(sample)')} FROM sizes)) AS raw
+              FROM walk{DEPTH} JOIN nodes USING (tree, node) GROUP BY code),
+            ends AS (SELECT min(raw) AS low, max(raw) AS high FROM raw WHERE code IN (SELECT code FROM fit))
+            SELECT event_id, split, round(greatest(0e0, least(1e0, (raw - low) / (high - low))), 4) AS isolation_forest_score
+            FROM parts JOIN raw USING (code), ends""",
         "record_ids": """SELECT doc_id, 'llm-740-' || lpad(CAST(row_number() OVER (ORDER BY lang, doc_id) - 1 AS VARCHAR), 6, '0') AS document_id
             FROM documents""",
     }

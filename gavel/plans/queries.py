@@ -14,15 +14,15 @@ from gavel.functions.keys import decoded_key, output_key, plane_of_key
 from gavel.functions.scores import clip01, fuse, min_max, round4
 from gavel.functions.text import normal_form, opening_signature
 from gavel.operators import contracts, corpus, decide, evaluate, ledger, metrics, ranks, rules
-from gavel.operators.forest import fit_forest
+from gavel.operators.forest import draw_of, fit_forest, fit_trees
 from gavel.operators.models import (
     AnomalyModel, classify_text, fit_sequence_model, fit_text_model, label_id, sequence_scores, with_code,
 )
 from gavel.operators.normalize import normalize_table
 from gavel.operators.sequences import user_windows
 from gavel.plans.govern import fallback_engine, govern
-from gavel.plans.train import labelled
-from gavel.session import cut_lineage
+from gavel.plans.train import labelled, train_anomaly
+from gavel.session import cut_lineage, stage
 from gavel.sources import testbed as B
 from gavel.sources.decisions import canonical_json, row_json
 from gavel.sources.records import JsonFields, infer_plane, parse_lines
@@ -549,13 +549,25 @@ def record_ids(spark, d):
 
 
 def _train_rows(spark, d):
-    """The labelled access log of the given events."""
-    return labelled(B.access_records(spark, d), "seq")
+    """The labelled access log of the given events; the last fifth is held out."""
+    return ranks.split_by_position(labelled(B.access_records(spark, d), "seq"), "seq", K.VALIDATION_SHARE)
+
+
+def _fit_rows(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("split") == "fit")
+
+
+def forest_nodes(spark, d):
+    """The trees grown on the fit split."""
+    nodes = fit_trees(_fit_rows(_train_rows(spark, d)).select("event_id", "code"))
+    return nodes.withColumns({n: F.round(n, 9) for n in ("cut", "length")})
 
 
 def forest_scores(spark, d):
+    """Scores of all events by a forest grown on the fit split."""
     rows = _train_rows(spark, d)
-    return fit_forest(rows).scores(rows).select("event_id", round4(F.col("isolation_forest_score")).alias("isolation_forest_score"))
+    scored = fit_forest(_fit_rows(rows)).scores(rows)
+    return scored.select("event_id", "split", round4(F.col("isolation_forest_score")).alias("isolation_forest_score"))
 
 
 def _sequence_model(windows):
@@ -563,21 +575,44 @@ def _sequence_model(windows):
     return fit_sequence_model(windows, "y", weights["positive_weight"], rounds=5, depth=3)
 
 
+def _split_windows(spark, d):
+    """Staged windows that restart at the split: those to fit on, and those held out."""
+    windows = stage(user_windows(_train_rows(spark, d), within=("split",)))
+    return _fit_rows(windows), windows.filter(F.col("split") == "validation")
+
+
 def sequence_model_scores(spark, d):
-    windows = cut_lineage(user_windows(_train_rows(spark, d)))
-    return sequence_scores(windows, _sequence_model(windows)).select("event_id", "lstm_score")
+    """Held-out events scored by a model fitted on the others."""
+    fit, held_out = _split_windows(spark, d)
+    return sequence_scores(held_out, _sequence_model(fit)).select("event_id", "y", "lstm_score")
 
 
 def anomaly_model_scores(spark, d):
-    rows = _train_rows(spark, d)
-    windows = cut_lineage(user_windows(rows))
-    return AnomalyModel(fit_forest(rows), _sequence_model(windows)).scores(windows).select("event_id", *SCORES)
+    """Held-out events scored by forest, sequence model and their fusion."""
+    fit, held_out = _split_windows(spark, d)
+    return AnomalyModel(fit_forest(fit), _sequence_model(fit)).scores(held_out).select("event_id", "y", *SCORES)
+
+
+def trained_scorers_report(spark, d):
+    """Scorers fitted on the first part of the log, tuned on the next, reported on the last fifth."""
+    log = B.access_records(spark, d)
+    start = ranks.validation_start(log, "seq", K.VALIDATION_SHARE)
+    head, tail = log.filter(F.col("seq") < start), log.filter(F.col("seq") >= start)
+    return train_anomaly(head, "seq", test=tail, rounds=5).report
+
+
+def _split_documents(spark, d):
+    """Labelled documents: four fifths to fit on, the others held out, by a digest of the id."""
+    docs = stage(B.labelled_documents(spark, d))
+    held_out = draw_of("held out", F.col("document_id")) % 5 == 0
+    return docs.filter(~held_out), docs.filter(held_out)
 
 
 def text_model_classes(spark, d):
-    docs = B.labelled_documents(spark, d)
-    model = fit_text_model(docs.select("text", label_id(F.col("label")).alias("label_id")), features=1 << 12, rounds=10)
-    return classify_text(docs, model).select("document_id", "label", "content_class", "content_confidence")
+    """Held-out documents classified by a model fitted on the others."""
+    fit, held_out = _split_documents(spark, d)
+    model = fit_text_model(fit.select("text", label_id(F.col("label")).alias("label_id")), features=1 << 12, rounds=10)
+    return classify_text(held_out, model).select("document_id", "label", "content_class", "content_confidence")
 
 
 COVERS = {
@@ -639,9 +674,11 @@ COVERS = {
     "leakage_removed": "J4 S17 U3",
     "balanced_classes": "W3",
     "record_ids": "W4",
-    "forest_scores": "M1 M2",
+    "forest_nodes": "M1",
+    "forest_scores": "M1 M2 W5",
     "sequence_model_scores": "M3 M4",
     "anomaly_model_scores": "M5",
+    "trained_scorers_report": "M6 M7",
     "text_model_classes": "M8 M9",
 }
 
