@@ -201,15 +201,13 @@ def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield product()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, places: DataFrame, *, many: bool) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) of set keys that are similar: their rows multiplied in blocks.
 
-    With ``many`` pairs, which grow with the documents, texts are joined by a sorted merge at
-    every size; else the planner may send the few it needs to the texts.
+    Texts meet the list of those needed by a sorted merge, at every size.
     """
-    spark = docs.sparkSession
     number = pairs.groupBy("a").agg(F.count("*").alias("number"))
-    salted = pairs.join(number, "a").select(
+    salted = pairs.join(number.hint("merge"), "a").select(
         "a", "b", F.pmod(F.xxhash64("b"), 1 + F.expr(f"number div {BLOCK}")).alias("salt")
     )
     members = salted.select(F.col("b").alias("set_key"), "a", "salt", F.lit(1).alias("role"))
@@ -218,14 +216,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, places: DataFrame, *, many: boo
         members.union(heads)
         .groupBy("set_key")
         .agg(F.collect_list(F.struct("a", "salt", "role")).alias("blocks"))
-        .join(places, "set_key")
+        .join(places.hint("merge"), "set_key")
     )
-    # written out: if it is small, the planner sees so and need not shuffle the texts
-    path = f"{checkpoint_dir(spark)}/needs-{uuid4()}"
-    needs.write.parquet(path)
-    needed = spark.read.schema(needs.schema).parquet(path)
-    needed = needed.hint("merge") if many else needed
-    rows = docs.join(needed, "doc_key").select("text", "set_key", "blocks").mapInArrow(_memberships, _ROW)
+    rows = docs.join(needs.hint("merge"), "doc_key").select("text", "set_key", "blocks").mapInArrow(_memberships, _ROW)
     return (
         rows.repartition("a", "salt")
         .sortWithinPartitions("a", "salt", "role")
@@ -264,7 +257,7 @@ def similar_sets(docs: DataFrame, described: DataFrame, counts: np.ndarray) -> D
         .distinct()
     )
     first = cut_lineage(first)
-    links = cut_lineage(confirmed(first, docs, places, many=True))
+    links = cut_lineage(confirmed(first, docs, places))
     known = connected_components(links)
     # what could still connect two components: one of the pair is not with its shingle's lead
     root = F.coalesce("root", "set_key")
@@ -288,7 +281,7 @@ def similar_sets(docs: DataFrame, described: DataFrame, counts: np.ndarray) -> D
         .distinct()
         .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    more = confirmed(cut_lineage(rest), docs, places, many=False)
+    more = confirmed(cut_lineage(rest), docs, places)
     return connected_components(links.union(more))
 
 
