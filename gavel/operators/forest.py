@@ -224,7 +224,9 @@ def raw_scores(vectors: DataFrame, nodes: DataFrame, vector: str = "vector", nam
 
 
 def walked(codes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``code, raw`` of the given codes."""
+    """``code, raw`` of the given codes, ``CODES`` at most: little data, but much to walk, so
+    they are dealt to all cores."""
+    codes = codes.repartition(min(codes.sparkSession.sparkContext.defaultParallelism, 256), "code")
     scored = raw_scores(codes.withColumn("vector", vector_of_code(F.col("code"))), nodes)
     return scored.select("code", "raw")
 

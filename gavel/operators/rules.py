@@ -168,11 +168,13 @@ def rule_index(rules: DataFrame, conditions: DataFrame) -> DataFrame:
     return rules.join(grouped, "rule_key", "left").agg(F.when(few, all_rules).alias("rules"))
 
 
-def _looks(tokens: Column, numbers: Column, test: Column) -> Column:
+def _meets(tokens: Column, test: Column) -> Column:
     """Does an event's context meet one condition?"""
     token = F.coalesce(F.get(tokens, test["at"]), F.lit("null"))
-    reaches = F.coalesce(F.get(numbers, test["at"]) >= test["floor"], F.lit(False))
-    return F.when(test["floor"].isNotNull(), reaches).otherwise(F.array_contains(test["tokens"], token))
+    # a number prints so that it reads back as itself
+    number = F.substr(token, F.instr(token, ":") + 1).try_cast("double")
+    reaches = F.coalesce(number >= test["floor"], F.lit(False))
+    return F.when(test["floor"].isNull(), F.array_contains(test["tokens"], token)).otherwise(reaches)
 
 
 def fire_from_tables(events: DataFrame, rules: Iterable[Rule] | tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -189,15 +191,12 @@ def fire_from_tables(events: DataFrame, rules: Iterable[Rule] | tuple[DataFrame,
         F.coalesce(F.concat(F.lit("number:" if name in SCORE_KEYS else "text:"), c.cast("string")), F.lit("null"))
         for name, c in ctx.items()
     ]
-    seen = events.withColumns(
-        {"_tokens": F.array(*tokens), "_numbers": F.array(*[c.try_cast("double") for c in ctx.values()])}
-    )
     # pinned: a lambda would work out what it refers to for every rule, and every column
     # that refers to the hits would look for them again
-    seen = pin(seen, "_tokens", "_numbers")
-    hits = F.filter("_rules", lambda r: F.forall(r["tests"], lambda t: _looks(F.col("_tokens"), F.col("_numbers"), t)))
+    seen = pin(events.withColumn("_tokens", F.array(*tokens)), "_tokens")
+    hits = F.filter("_rules", lambda r: F.forall(r["tests"], lambda t: _meets(F.col("_tokens"), t)))
     fired = seen.withColumn("_rules", index.scalar()).withColumn("_hits", hits)
-    found = pin(fired.drop("_tokens", "_numbers", "_rules"), "_hits")
+    found = pin(fired.drop("_tokens", "_rules"), "_hits")
     said = F.array_join(F.filter(F.col("_hits.explanation"), lambda e: e != ""), " ")
     none = F.size("_hits") == 0
     return found.withColumns(
