@@ -6,7 +6,6 @@ import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Largest table (in rows) this library will ask Spark to broadcast.
 BROADCAST_ROWS = 200_000
@@ -39,21 +38,6 @@ def build_session(master: str | None = None, app: str = "gavel", **extra: str) -
     return builder.getOrCreate()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The rows are fetched once (never more than ``max_rows + 1`` of them) and
-    turned into a local relation, so an expensive ``df`` is not computed twice.
-    A larger ``df`` comes back unhinted and joins by shuffle.
-    """
-    head = df.limit(max_rows + 1).collect()
-    if len(head) > max_rows:
-        return df
-    if not head:
-        return F.broadcast(df.limit(0))
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only in local mode."""
     sc = spark.sparkContext

@@ -15,7 +15,7 @@ from gavel.operators import corpus, evaluate, forest, metrics, models, ranks
 from gavel.operators.ordered import in_ranges, running_sums
 from gavel.operators.sequences import left_padded, sequence_tensor, user_windows
 from gavel.plans.train import train_anomaly
-from gavel.session import broadcast_if_small, checkpoint_dir
+from gavel.session import checkpoint_dir, stage
 from labelled import access_log_rows, labelled_texts
 
 SEQ = "user_id string, occurred_at string, event_id string, code int"
@@ -387,8 +387,8 @@ def test_external_models_plug_in(spark):
     assert (row["content_class"], row["content_confidence"]) == ("financial", 0.7)
 
 
-def test_broadcast_is_checked(spark):
-    small, big = broadcast_if_small(spark.range(5), 10), broadcast_if_small(spark.range(50), 10)
-    assert "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower() and big.count() == 50
-    assert checkpoint_dir(spark)
+def test_staged_tables_are_read_back(spark, tmp_path):
+    rows = stage(spark.range(5), str(tmp_path / "t"))
+    assert "FileScan parquet" in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 5
+    assert stage(spark.range(3), str(tmp_path / "t")).count() == 3  # replaced
+    assert checkpoint_dir(spark) and stage(spark.range(2)).count() == 2
