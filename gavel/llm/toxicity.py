@@ -206,7 +206,8 @@ class Likenesses:
 
     def _reset(self) -> None:
         self.place: dict[str, int] = {}
-        self.vectors = [np.zeros(self.kernel.width)]
+        self.vectors = np.zeros((1024, self.kernel.width))  # the first stays zero; grows by doubling
+        self.filled = 1
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.place]
@@ -219,22 +220,29 @@ class Likenesses:
         units = list(set(cleaned))
         values = self.kernel.values(units, LEAST) ** POWER
         place = dict.fromkeys(units, 0)
-        for at in np.flatnonzero(values.any(axis=1)).tolist():
-            place[units[at]] = len(self.vectors)
-            self.vectors.append(values[at])
+        like = np.flatnonzero(values.any(axis=1))
+        end = self.filled + len(like)
+        while end > len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+        self.vectors[self.filled : end] = values[like]
+        place.update((units[at], self.filled + k) for k, at in enumerate(like.tolist()))
+        self.filled = end
         self.place.update((word, place[unit]) for word, unit in zip(new, cleaned, strict=True))
 
     def documents(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Per text: one row per sentence that is like some landmark, and a row of zeros."""
         split = [sentences_of(t) for t in texts]
         self.learn({w for sentences in split for words in sentences for w in words})
-        place, vectors = self.place, self.vectors
+        place_of, vectors = self.place.__getitem__, self.vectors
         for sentences in split:
-            rows = [vectors[0]]
+            places, starts = [0], [0]
             for words in sentences:
-                if found := {p for p in map(place.__getitem__, words) if p}:
-                    rows.append(np.max([vectors[p] for p in found], axis=0))
-            yield np.array(rows)
+                found = set(map(place_of, words))
+                found.discard(0)
+                if found:
+                    starts.append(len(places))
+                    places.extend(found)
+            yield np.maximum.reduceat(vectors[places], starts, axis=0)
 
 
 @dataclass
