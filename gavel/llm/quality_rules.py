@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel.functions.plan import pin
-from gavel.session import cut_lineage
+from gavel.session import BROADCAST_ROWS, cut_lineage, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -200,11 +200,16 @@ def certified_cutoffs(
 
 
 def judged(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``measured`` with ``base_failed`` and ``kept``; rows keep their number."""
+    """``measured`` with ``base_failed`` and ``kept``; rows keep their number.
+
+    At most ``BROADCAST_ROWS`` strata are broadcast, so that the rows stay in place.
+    """
     over = F.lit(False)
     for rule in RULES:
         over = over | F.coalesce(rule_value(rule) > F.col(f"cut_{rule}"), F.lit(False))
-    cut = cutoffs.withColumnRenamed("stratum", "_stratum")
+    cut = cut_lineage(cutoffs.withColumnRenamed("stratum", "_stratum"))
+    if cut.count() <= BROADCAST_ROWS:
+        cut = F.broadcast(cut)
     joined = measured.join(cut, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
     failed = base_failed()
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~over).drop("_stratum")
@@ -234,11 +239,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
-    Texts are never shuffled: one pass measures them for the cutoffs, a second
-    measures and filters them in place.
+    The rows are measured once and staged beside their counts: the cutoffs read the counts
+    only, and the kept rows are read from the stage, without a shuffle of texts. What fails
+    the base goes before the stage.
     """
-    keep = [F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum")]
-    cutoffs = cut_lineage(certified_cutoffs(measure(docs, keep), labels))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang")
-    measured = measure(whole, [F.col("_row"), F.col("lang").cast("string").alias("stratum")])
-    return judged(measured, cutoffs).where("kept").select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "lang", "text")
+    keep = [F.col("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum")]
+    measured = stage(measure(rows, keep).where(~base_failed()))
+    return judged(measured, certified_cutoffs(measured, labels)).where("kept").select("_row.*")

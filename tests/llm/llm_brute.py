@@ -59,7 +59,7 @@ def edit_distance(a, b):
 
 
 def allowed_edits(n):
-    return 2 if n >= 40 else 1 if n >= 20 else 0
+    return n // 20 if n >= 100 else 2 if n >= 40 else 1 if n >= 20 else 0
 
 
 def could_be(a, b, edits):
@@ -79,7 +79,8 @@ def line_removals(docs):
                 first.setdefault(line, (doc, number))
     by_length, near = collections.defaultdict(list), set()
     for line in sorted(first, key=first.get):
-        for n in range(len(line) - 2, len(line) + 3):
+        reach = max(2, len(line) // 19)
+        for n in range(len(line) - reach, len(line) + reach + 1):
             edits = allowed_edits(min(n, len(line)))
             if edits and any(could_be(line, o, edits) and edit_distance(line, o) <= edits for o in by_length[n]):
                 near.add(line)
