@@ -6,6 +6,7 @@ import string
 
 import llm_brute as B
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,36 @@ def test_edits_grow_with_long_lines(spark):
     assert {r["doc_id"] for r in got if r["n_near"]} == near and len(got) == len(rows)
 
 
+def test_shared_grams_keep_every_possible_pair():
+    rng = random.Random(6)
+    rows = []
+    for line in range(70_000):
+        n, key = rng.randrange(100, 160), rng.choice([rng.randrange(200), rng.randrange(10**6)])
+        rows.append((key, line, rng.randrange(n) << 33 | n << 1 | rng.randrange(2)))
+    rows.sort(key=lambda r: (r[0], r[2]))
+    want, by_key = set(), collections.defaultdict(list)
+    for row in rows:
+        by_key[row[0]].append(row)
+    fields = [(h, at >> 33, (at & 0x1FFFFFFFF) >> 1, at & 1) for _, h, at in rows if len(by_key[_]) <= 8]
+    keys = [key for key, _, _ in rows if len(by_key[key]) <= 8]
+    exact = {h for h, *_ in fields}
+    for at, (h, p, n, step) in enumerate(fields):
+        for other in range(at + 1, len(fields)):
+            g, q, m, low = fields[other]
+            if keys[other] != keys[at]:
+                break
+            reach = min(n, m) // 20
+            if g != h and abs(p - q) <= reach and abs(n - m) <= reach and step + low <= 1:
+                want |= {h, g}
+    batches = []
+    for first in range(0, len(rows), 999):
+        columns = zip(*rows[first : first + 999], strict=True)
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "h", "at"]))
+    got = [r for b in line_dedup._shared(iter(batches)) for r in b.to_pylist()]
+    assert len(got) == len({(r["key"], r["h"], r["at"]) for r in got})
+    assert {r["h"] for r in got} & exact == want and 20 < len(want) < len(exact)
+
+
 def test_lines_of_odd_rows(spark):
     frame = spark.createDataFrame([*ODD, (7, "twice\nthe line"), (7, "twice\nthe line")], TEXTS)
     got = line_dedup.line_report(frame).collect()
