@@ -100,34 +100,42 @@ def test_edits_grow_with_long_lines(spark):
     assert {r["doc_id"] for r in got if r["n_near"]} == near and len(got) == len(rows)
 
 
-def test_shared_grams_keep_every_possible_pair():
+def test_rows_of_a_gram_meet_or_are_kept():
+    """Every pair that the edits allow is met, or both its rows are kept; no other pair is met."""
     rng = random.Random(6)
     rows = []
     for line in range(70_000):
         n, key = rng.randrange(100, 160), rng.choice([rng.randrange(200), rng.randrange(10**5)])
-        rows.append((key, line, rng.randrange(n) << 33 | n << 1 | rng.randrange(2)))
+        counts = sum(rng.randrange(5) << 8 * k for k in range(8)) - (line % 2 << 63)
+        rows.append((key, line, rng.randrange(n) << 33 | n << 1 | rng.randrange(2), counts))
     rows.sort(key=lambda r: (r[0], r[2]))
     want, by_key = set(), collections.defaultdict(list)
     for row in rows:
         by_key[row[0]].append(row)
-    fields = [(h, at >> 33, (at & 0x1FFFFFFFF) >> 1, at & 1) for _, h, at in rows if len(by_key[_]) <= 8]
-    keys = [key for key, _, _ in rows if len(by_key[key]) <= 8]
-    exact = {h for h, *_ in fields}
-    for at, (h, p, n, step) in enumerate(fields):
-        for other in range(at + 1, len(fields)):
-            g, q, m, low = fields[other]
-            if keys[other] != keys[at]:
-                break
-            reach = min(n, m) // 20
-            if g != h and abs(p - q) <= reach and abs(n - m) <= reach and step + low <= 1:
-                want |= {h, g}
+    for same in by_key.values():
+        for at, (_, h, place, counts) in enumerate(same):
+            for _, g, other, others in same[at + 1 :]:
+                n, m = (place & 0x1FFFFFFFF) >> 1, (other & 0x1FFFFFFFF) >> 1
+                reach = min(n, m) // 20
+                if (other >> 33) - (place >> 33) > 8:
+                    break
+                steps = (place & 1) + (other & 1)
+                if (other >> 33) - (place >> 33) <= reach and abs(n - m) <= reach and steps <= 1:
+                    lanes = [abs((counts >> 8 * k & 255) - (others >> 8 * k & 255)) for k in range(8)]
+                    if sum(min(x, 256 - x) for x in lanes) <= 2 * reach:
+                        want.add((min(g, h), max(g, h)))
     batches = []
+    names = ["key", "h", "at", "counts"]
     for first in range(0, len(rows), 999):
         columns = zip(*rows[first : first + 999], strict=True)
-        batches.append(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "h", "at"]))
-    got = [r for b in line_dedup._shared(iter(batches)) for r in b.to_pylist()]
-    assert len(got) == len({(r["key"], r["h"], r["at"]) for r in got})
-    assert {r["h"] for r in got} & exact == want and 20 < len(want) < len(exact)
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names))
+    got = [r for b in line_dedup._meet(iter(batches)) for r in b.to_pylist()]
+    met = {(r["h"], r["other"]) for r in got if r["other"] is not None}
+    kept = [(r["key"], r["h"], r["at"], r["counts"]) for r in got if r["other"] is None]
+    assert len(kept) == len(set(kept)) and set(kept) <= set(rows)
+    crowded = {h for _, h, _, _ in kept}
+    assert met <= want and all(pair in met or set(pair) <= crowded for pair in want)
+    assert 1000 < len(met) < len(want) and 1000 < len(crowded) < len(rows)
 
 
 def test_lines_of_odd_rows(spark):
