@@ -122,7 +122,7 @@ def test_rows_of_a_gram_meet_or_are_kept():
                 steps = (place & 1) + (other & 1)
                 if (other >> 33) - (place >> 33) <= reach and abs(n - m) <= reach and steps <= 1:
                     lanes = [abs((counts >> 8 * k & 255) - (others >> 8 * k & 255)) for k in range(8)]
-                    if sum(min(x, 256 - x) for x in lanes) <= 2 * reach:
+                    if sum(min(x, 256 - x) for x in lanes) <= 2 * reach - abs(n - m):
                         want.add((min(g, h), max(g, h)))
     batches = []
     names = ["key", "h", "at", "counts"]
