@@ -15,7 +15,7 @@ from gavel.llm import jaccard_join, line_dedup, shards, suffix_dedup
 from gavel.llm.components import connected_components
 from gavel.llm.decontaminate import clean_documents, decontaminate
 from gavel.llm.packing import pack, plan_packing
-from gavel.llm.token_store import Block, document_digests, encode_block, store_round_trip
+from gavel.llm.token_store import Block, document_digests, encode_block, read_store, store_round_trip, write_store
 from gavel.llm.word_tokens import WordIds, default_vocabulary
 
 TEXTS = "doc_id long, text string"
@@ -330,6 +330,7 @@ def test_packed_pieces_equal_the_tokenizer(spark, docs):
     for found in held.values():
         ends = [o + n for o, n in sorted(found)]
         assert [0, *ends[:-1]] == [o for o, _ in sorted(found)] and ends[-1] <= 4096
+    assert len(held) <= -(-sum(r["length"] for r in got) // 4096) + 1
     assert pack(frame.limit(0), default_vocabulary()).count() == 0
 
 
@@ -373,6 +374,21 @@ def test_stores_round_trip(spark, docs):
     assert store_round_trip(frame.limit(0), default_vocabulary()).count() == 0
 
 
+def test_a_range_of_several_blocks(spark, tmp_path):
+    """Equal rows lie in one range: together they fill more than two blocks."""
+    rows = [(7, "the cat sat " * 70_000)] * 6 + [(6, "a"), (8, "b c")]
+    write_store(spark.createDataFrame(rows, TEXTS), str(tmp_path / "store"), default_vocabulary())
+    store = read_store(spark, str(tmp_path / "store"))
+    assert max(r["count"] for r in store.groupBy("part").count().collect()) > 2
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in document_digests(store).collect())
+    want, at = [], 0
+    digests = {text: (len(x), B.crc(x)) for text in {t for _, t in rows} for x in [B.ids(text) + [2]]}
+    for doc, text in sorted(rows):
+        want.append((at, doc, *digests[text]))
+        at += digests[text][0]
+    assert got == want
+
+
 @pytest.mark.parametrize(("n", "skeleton"), [(16, 1 << 18), (5, 10)])
 def test_shards_have_the_smallest_capacity(spark, docs, n, skeleton):
     frame = docs.union(spark.createDataFrame([*ODD, (3, "a"), (3, "a")], TEXTS))
