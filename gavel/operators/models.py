@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -22,6 +23,10 @@ from gavel.operators.sequences import sequence_tensor, user_windows
 from gavel.session import stage
 
 
+# Rows that one task of the sequence model's fit holds: flattened, a window takes 1 to 2 KB.
+FIT_ROWS = 50_000
+
+
 def with_code(df: DataFrame, prefix: str = "access.") -> DataFrame:
     """Adds the feature ``code`` of an access event."""
     return df.withColumn(
@@ -48,8 +53,13 @@ def flat_sequence(window: Column) -> Column:
 def fit_sequence_model(
     windows: DataFrame, label: str, positive_weight: float, *, rounds: int = 20, depth: int = 4, seed: int = K.FOREST_SEED
 ) -> PipelineModel:
-    """Supervised, class-weighted model of the flattened window (``window``, ``label``)."""
-    rows = windows.select(
+    """Supervised, class-weighted model of the flattened window (``window``, ``label``).
+
+    The fit keeps every flattened row, some twenty times its stored size, so rows are dealt
+    evenly before they are flattened, ``FIT_ROWS`` at most to a task.
+    """
+    tasks = max(windows.sparkSession.sparkContext.defaultParallelism, math.ceil(windows.count() / FIT_ROWS))
+    rows = windows.select("window", label).repartition(tasks).select(
         flat_sequence(F.col("window")).alias("sequence"),
         F.col(label).cast("double").alias("label"),
         F.when(F.col(label).cast("int") == 1, F.lit(float(positive_weight))).otherwise(F.lit(1.0)).alias("weight"),

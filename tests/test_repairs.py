@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from gavel import constants as K
 from gavel.functions.keys import uuid_text
-from gavel.operators import decide, ledger, ranks, rules
+from gavel.operators import decide, ledger, models, ranks, rules
 from gavel.operators.evaluate import roc_auc
 from gavel.operators.forest import tree_samples
+from gavel.plans.queries import QUERIES
 from gavel.plans.upload import run_upload
 from gavel.sources import decisions as D
 from gavel.sources.records import read_jsonl
@@ -131,3 +132,25 @@ def test_rejects_are_kept(spark, tmp_path):
         [("a1", ledger.DUPLICATE), ("", ledger.MISSING_ID)]
     )
     assert spark.read.parquet(str(tmp_path / "l")).count() == 2
+
+
+def test_sequence_fit_deals_rows_by_their_number(spark, monkeypatch):
+    windows = spark.createDataFrame([([i % 7], i % 2) for i in range(200)], "window array<int>, y int").coalesce(1)
+    sizes = []
+
+    class Fits:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, rows):
+            sizes.extend(rows.rdd.glom().map(len).collect())
+
+    monkeypatch.setattr(models, "Pipeline", Fits)
+    monkeypatch.setattr(models, "FIT_ROWS", 10)
+    models.fit_sequence_model(windows, "y", 2.0)
+    assert sum(sizes) == 200 and max(sizes) <= 15
+
+
+def test_ledger_reads_share_one_set_of_decisions(spark, sf):
+    for name in ("ledger_lookup", "ledger_exists"):
+        assert all("/staged-" in file for file in QUERIES[name](spark, sf).inputFiles()), name
