@@ -277,16 +277,22 @@ def ledger_scan(spark, d):
     )
 
 
+def ledger_keys(spark, d, *more: str) -> DataFrame:
+    """``id_prefix, decision_id`` and ``more`` of all decisions as the ledger has them, staged:
+    candidates, their directories and the stored half are all read from there."""
+    rows = decided(spark, d).withColumn("ledger_tx_id", ledger.transaction_id())
+    return stage(ledger.ledger_rows(rows, F.col("decided_at")).select("id_prefix", "decision_id", *more))
+
+
 def ledger_lookup(spark, d):
     """The stored row of every decision, or that there is none."""
-    made = decided(spark, d)
-    stored = stored_ledger(made).select("id_prefix", "decision_id", "action", "ledger_tx_id")
-    return ledger.lookup(stored, made.select("decision_id"))
+    made = ledger_keys(spark, d, "action", "ledger_tx_id")
+    return ledger.lookup(made.filter(half()), made.select("decision_id"))
 
 
 def ledger_exists(spark, d):
-    made = decided(spark, d)
-    return ledger.exists(stored_ledger(made).select("id_prefix", "decision_id"), made.select("decision_id"))
+    made = ledger_keys(spark, d)
+    return ledger.exists(made.filter(half()), made.select("decision_id"))
 
 
 def ledger_history(spark, d):
