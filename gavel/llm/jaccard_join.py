@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavel.llm.common import small_batches
+from gavel.llm.common import shuffles_dropped, small_batches
 from gavel.llm.components import connected_components
 from gavel.session import checkpoint_dir, cut_lineage
 
@@ -306,7 +306,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     described = table.where("bucket IS NULL").select(
         "doc_id", "text_key", "n", "set_key", F.coalesce("doc_id", F.lit(FIRST)).alias("doc_key")
     )
-    roots = similar_sets(rows, described, counts)
+    with shuffles_dropped(spark):
+        roots = similar_sets(rows, described, counts)
     of_set = described.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     rooted = of_set.join(roots, F.col("set_key") == F.col("node"), "left").select(
         "set_key", "least", F.coalesce("root", "set_key").alias("root")
