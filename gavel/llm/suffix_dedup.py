@@ -75,17 +75,21 @@ def least_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (least & np.uint64((1 << 20) - 1)).astype(np.int64), h
 
 
-def stretches(text: bytes) -> Iterator[tuple[int, int, int, int, int]]:
-    """(anchor, digest, start, number of strings, anchor's place in the first string)."""
+def anchored(text: bytes) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per piece: where it begins, its bytes, and of its stretches the anchors, the first strings,
+    their numbers and the anchors' places in the first strings."""
     for base in range(0, max(0, len(text) - LENGTH + 1), PIECE):
         piece = text[base : base + PIECE + LENGTH - 1]
         at, h = least_grams(np.frombuffer(piece, np.uint8))
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         number = np.diff(np.concatenate([first, [len(at)]]))
-        anchors = h[at[first]].view(np.int64).tolist()
-        for anchor, start, n, place in zip(
-            anchors, first.tolist(), number.tolist(), (at[first] - first).tolist(), strict=True
-        ):
+        yield base, piece, h[at[first]].view(np.int64), first, number, at[first] - first
+
+
+def stretches(text: bytes) -> Iterator[tuple[int, int, int, int, int]]:
+    """(anchor, digest, start, number of strings, anchor's place in the first string)."""
+    for base, piece, *found in anchored(text):
+        for anchor, start, n, place in zip(*(column.tolist() for column in found), strict=True):
             digest = hashlib.blake2b(piece[start : start + n + LENGTH - 1], digest_size=8, salt=bytes([place]))
             yield anchor, int.from_bytes(digest.digest(), "little", signed=True), base + start, n, place
 
@@ -186,6 +190,14 @@ def _find_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
+def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of all stretches alone: what counts them needs no digests."""
+    for batch in batches:
+        found = [anchors for text in batch.column(0).to_pylist() for _, _, anchors, *_ in anchored(text)]
+        column = np.concatenate([np.zeros(0, np.int64), *found])
+        yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64())], names=["anchor"])
+
+
 def _cut_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in _FRAGMENT.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
@@ -310,7 +322,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_key, text_key, start, stop): byte spans of ``keyed`` rows that are repeated."""
     spark = docs.sparkSession
     raw = docs.select("doc_key", "text_key", "text").mapInArrow(_find_stretches, _STRETCH)
-    shared = raw.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1").select("anchor")
+    every = docs.select("text").mapInArrow(_find_anchors, "anchor long")
+    shared = every.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1").select("anchor")
     path = f"{checkpoint_dir(spark)}/stretches-{uuid4()}"
     raw.join(shared, "anchor").write.parquet(path)
     found = spark.read.schema(_STRETCH).parquet(path)
