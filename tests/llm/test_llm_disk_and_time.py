@@ -4,7 +4,9 @@ import random
 
 import llm_brute as B
 import pyarrow as pa
+import pyarrow.parquet as pq
 
+from gavel import session
 from gavel.llm import jaccard_join, line_dedup, suffix_dedup
 
 TEXTS = "doc_id long, text string"
@@ -30,6 +32,53 @@ def test_keys_meet_in_passes(spark, monkeypatch):
     assert taken == ["pairs_with_earliest"] * line_dedup.KEY_PASSES + ["pairs_with_earlier"] * line_dedup.KEY_PASSES
 
 
+def test_only_texts_of_pairs_that_letters_allow_are_joined(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = []
+    for i in range(40):
+        line = "".join(rng.choice("abcdefg \u00e4\u00c9Z#") for _ in range(rng.choice([24, 50, 130])))
+        # near, near, and of the same letters in COUNTED but others in FURTHER
+        near = [line[:9] + "\u00e4\u00fc"[i % 2] + line[10:], line + "#"]
+        other = line[:12] + line[12:].translate(str.maketrans("\u00e4Z", "\u00f6H")) + "zxqj,"
+        rows += [(5 * i + k, text) for k, text in enumerate([line, *near, other])]
+        rows.append((5 * i + 4, "".join(rng.choice("hijklmn") for _ in range(130))))
+    seen, plain = [], line_dedup.measured
+
+    def measured(pairs, texts):
+        seen.append(({h for pair in pairs.collect() for h in pair}, {r["h"] for r in texts.select("h").collect()}))
+        return plain(pairs, texts)
+
+    monkeypatch.setattr(line_dedup, "measured", measured)
+    monkeypatch.setattr(line_dedup, "TEXT_ROWS", 50)
+    got = {r["doc_id"]: (list(r["removed_lines"]), r["n_near"]) for r in line_dedup.line_report(spark.createDataFrame(rows, TEXTS)).collect()}
+    assert got == B.line_removals(rows)
+    assert sum(n_near for _, n_near in got.values()) >= 60
+    assert len(seen) >= 2 and all(pairs <= texts for pairs, texts in seen)
+    assert 0 < max(len(texts) for _, texts in seen) <= 160
+
+
+def test_removed_lines_are_staged_and_their_shuffles_dropped(spark, monkeypatch):
+    staged, plain = [], line_dedup.stage
+
+    def stage(df, path=None):
+        staged.append((df.columns, spark.conf.get(CLEANUP, None)))
+        return plain(df, path)
+
+    monkeypatch.setattr(line_dedup, "stage", stage)
+    before = spark.conf.get(CLEANUP, None)
+    frame = spark.createDataFrame([(1, "one line\ntwo"), (2, "one line\nthree"), (3, "two"), (4, None)], TEXTS)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(frame).collect()}
+    assert got == {1: "one line\ntwo", 2: "three", 4: None}
+    assert staged[-1] == (["doc_key", "text_key", "removed", "n_near"], "true")
+    assert spark.conf.get(CLEANUP, None) == before
+
+
+def test_staged_tables_are_in_zstd(spark, tmp_path):
+    staged = session.stage(spark.range(10), f"{tmp_path}/t")
+    (path,) = [f.removeprefix("file://") for f in staged.inputFiles() if pq.read_metadata(f.removeprefix("file://")).num_rows][:1]
+    assert pq.read_metadata(path).row_group(0).column(0).compression == "ZSTD"
+
+
 def test_shuffles_of_the_jaccard_join_are_dropped(spark, monkeypatch):
     settings, plain = [], jaccard_join.similar_sets
 
